@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chat_format, exact_dedup, language_id, mixing, sharding, simhash, url_filter
+from quillon.llm import chat_format, embedding_dedup, exact_dedup, language_id, mixing, sharding, simhash, toxicity, url_filter
 
 #: Rules of the query on URLs.
 URL_RULES = (
@@ -30,6 +30,14 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -56,6 +64,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_chat_format": op7_chat_format,
     "op8_mixing": op8_mixing,
