@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chat_format, embedding_dedup, exact_dedup, language_id, mixing, sharding, simhash, toxicity, url_filter
+from quillon.llm import chat_format, embedding_dedup, exact_dedup, language_id, mixing, packing, sharding, simhash, toxicity, url_filter
 
 #: Rules of the query on URLs.
 URL_RULES = (
@@ -38,6 +38,17 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_groups(_table(spark, sf_dir, "embeddings"))
 
 
+def tokenizer_path() -> str:
+    """Where the public tokenizer of the packing query is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -66,6 +77,7 @@ QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
     "op7_chat_format": op7_chat_format,
     "op8_mixing": op8_mixing,
