@@ -29,6 +29,8 @@ from quillon.storage import stash
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by position of the source, repeating; the share of all words; the most epochs of a source.
 WEIGHTS, SHARE, MAX_EPOCHS = (3, 1, 2), 1.5, 2
+#: Most sources whose cuts are broadcast.
+SOURCES = 100_000
 
 
 def sized(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -80,3 +82,35 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     return placed.select(
         id, source, "size", "source_size", "target", (F.col("__epochs") * F.col("size") + part).cast("long").alias("taken")
     )
+
+
+def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars", weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The documents of the mix, a row for each time, with the columns of ``docs``.
+
+    The row at the cut comes once more with its first words only, as many as the
+    budget has left, and ``n_chars`` (where there is such a column) of that text.
+    Texts are not shuffled by source: what each source's order takes is told by its
+    cut, one small row, and those rows are broadcast only while there are at most
+    ``SOURCES`` of them; beyond that they are joined.  Rows that repeat the id at the
+    cut share one cut text.
+    """
+    plan = mix(docs, id, text, source, weights, share, max_epochs)
+    key = F.md5(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary"))
+    per = plan.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
+    more = F.col("taken") - F.col("__epochs") * F.col("size")
+    last = F.max(F.when(more > 0, F.struct(key.alias("key"), (more < F.col("size")).alias("partly"), more.alias("words"))))
+    cuts = stash(per.groupBy(source).agg(F.max("__epochs").alias("__epochs"), last.alias("__cut")).withColumnRenamed(source, "__src"))
+    small = F.broadcast(cuts) if cuts.count() <= SOURCES else cuts
+    told = docs.withColumn("__key", key).join(small, docs[source].eqNullSafe(F.col("__src")), "left")
+    before = (F.col("__key") < F.col("__cut.key")) | (F.col("__key") == F.col("__cut.key")) & ~F.col("__cut.partly")
+    at = F.coalesce((F.col("__key") == F.col("__cut.key")) & F.col("__cut.partly"), F.lit(False))
+    times = F.coalesce("__epochs", F.lit(0)) + F.when(F.coalesce(before, F.lit(False)) | at, 1).otherwise(0)
+    rows = told.withColumn("__at", at).withColumn("__times", times).filter("__times > 0")
+    rows = rows.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    words = F.array_join(F.slice(words, 1, F.col("__cut.words").cast("int")), "")
+    head = F.when(F.col("__at") & (F.col("__time") == F.col("__times")), words)
+    out = {c: F.col(f"`{c}`") for c in docs.columns} | {text: F.coalesce(head, F.col(text))}
+    if n_chars in docs.columns:
+        out[n_chars] = F.when(head.isNotNull(), F.length(head).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
+    return rows.select(*[c.alias(name) for name, c in out.items()])
