@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from quillon.functions import rewrite
+from quillon.functions import rewrite, similarity
 from quillon.rules import tables as T
 
+#: Shortest word that is compared by edits, and the least ratio.
+FUZZY_LENGTH, FUZZY_LEAST = 5, 85.0
+
 
 def first_match(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
     """The value of the first pattern that occurs, or null."""
@@ -85,6 +90,38 @@ def body_parts(norm: Column, vocabulary: Column, aliases: Mapping[str, str] = T.
     return F.array_except(F.slice(F.array_distinct(F.concat(named, also)), 1, most), F.array(*map(F.lit, drop)))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def fuzzy_parts(norm: pd.Series, vocabulary: pd.Series) -> pd.Series:
+    """For texts that name no part: the part whose word is most like each long alphabetic word, if like enough.
+
+    Null texts give null, so that callers can leave out rows that need no guess.
+    """
+    seen: dict[tuple[str, int], str | None] = {}
+
+    def guess(token: str, parts) -> str | None:
+        best, part = FUZZY_LEAST, None
+        for p in parts:
+            for w in p.split() if p != "UNKNOWN" else ():
+                if len(w) >= FUZZY_LENGTH and (r := similarity.indel_ratio(token, w)) >= best and (part is None or r > best):
+                    best, part = r, p
+        return part
+
+    def one(text, parts):
+        if text is None:
+            return None
+        out = []
+        for token in text.split():
+            if len(token) >= FUZZY_LENGTH and token.isalpha():
+                if (token, len(parts)) not in seen:
+                    seen[token, len(parts)] = guess(token, parts)
+                found = seen[token, len(parts)]
+                if found and found not in out:
+                    out.append(found)
+        return out[:3]
+
+    return pd.Series([one(t, v) for t, v in zip(norm, vocabulary)])
+
+
 def expand_hints(norm: Column, hints=T.HINTS) -> Column:
     """Words of the text and those that the anatomy hints add."""
     extra = [F.when(norm.rlike(p), F.array(*map(F.lit, words))).otherwise(F.array().cast("array<string>")) for p, words in hints]
@@ -157,11 +194,13 @@ def parse(queries: DataFrame, vocabulary: DataFrame, text: str = "query", user_r
         views(norm).alias("views"),
         contrast(F.col("__contrast"), norm).alias("contrast"),
         laterality(norm).alias("laterality"),
-        body_parts(norm, F.col("__vocab")).alias("body_parts"),
+        F.coalesce(F.col("__guess"), F.col("__parts")).alias("body_parts"),
         expand_hints(norm).alias("knowledge_tokens"),
         procedures(norm).alias("procedure_keywords"),
         plural(norm).alias("has_plurality"),
         generic_procedure(norm).alias("generic_procedure"),
         *[c.alias(n) for n, c in flags(F.col(text), norm).items()],
     )
-    return base.join(F.broadcast(vocab)).withColumn("q", q).drop("__vocab", "__contrast")
+    named = base.join(F.broadcast(vocab)).withColumn("__parts", body_parts(norm, F.col("__vocab")))
+    named = named.withColumn("__guess", fuzzy_parts(F.when(F.size("__parts") == 0, norm), F.col("__vocab")))
+    return named.withColumn("q", q).drop("__vocab", "__contrast", "__parts", "__guess")

@@ -8,8 +8,9 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from quillon.functions import extract, rewrite
+from quillon.functions import rewrite
 from quillon.rules import tables as T
 
 
@@ -52,13 +53,13 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(best, indel_ratio(joined, with_a), indel_ratio(joined, with_b)) if common else best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Indel similarity of two columns, 0 to 100; null texts are empty."""
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fuzzy(a: pd.Series, b: pd.Series) -> pd.Series:
     """Token-set similarity of two columns, 0 to 1; null texts are empty."""
     return pd.Series([token_set_ratio(x or "", y or "") / 100.0 for x, y in zip(a, b)])
@@ -108,7 +109,7 @@ def procedure_score(keywords: Column, description: Column, alternatives: Mapping
 
 
 def generic_procedure_score(query_procedure: Column, description: Column) -> Column:
-    own = extract.generic_procedure(F.upper(description))
+    own = F.coalesce(*[F.when(F.upper(description).rlike(p), F.lit(v)) for p, v in T.GENERIC_PROCEDURES])
     return F.when(query_procedure.isNull(), 0).when(own == query_procedure, 150).when(own.isNotNull(), -100).otherwise(-50)
 
 

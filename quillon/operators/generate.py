@@ -22,12 +22,12 @@ def rule_table(spark: SparkSession, rules: Sequence[tuple[str, Sequence[str]]] =
 def variants(catalog: DataFrame, rules: DataFrame, depth: int = 2, code: str = "code", description: str = "description") -> DataFrame:
     """Distinct (code, variant): every rule that matches, and pairs of rules in order that both match the original."""
     base = catalog.select(F.col(code), F.col(description).alias("__desc"))
-    once = base.join(F.broadcast(rules)).filter(F.col("__desc").rlike(F.col("pattern")))
+    once = base.join(F.broadcast(rules)).filter(F.regexp_like("__desc", F.col("pattern")))
     change = lambda text: F.regexp_replace(text, F.col("pattern"), F.col("replacement"))
     out = once.select(code, "__desc", change(F.col("__desc")).alias("variant"))
     if depth > 1:
         later = rules.select(F.col("ord").alias("o2"), F.col("pattern").alias("p2"), F.col("replacement").alias("r2"))
-        both = once.join(F.broadcast(later), F.col("ord") < F.col("o2")).filter(F.col("__desc").rlike(F.col("p2")))
+        both = once.join(F.broadcast(later), F.col("ord") < F.col("o2")).filter(F.regexp_like("__desc", F.col("p2")))
         twice = F.regexp_replace(change(F.col("__desc")), F.col("p2"), F.col("r2"))
         out = out.unionByName(both.select(code, "__desc", twice.alias("variant")))
     tidy = out.withColumn("variant", F.trim(F.regexp_replace("variant", r"\s+", " ")))

@@ -53,7 +53,7 @@ def features(pairs: DataFrame, q: str = "q", norm: str = "normalized") -> DataFr
 
 def negatives(pairs: DataFrame, query: str = "qid", code: str = "code", label: str = "label", most: int = T.NEGATIVES, seed: int = 42) -> DataFrame:
     """Each query's positives and at most ``most`` others, drawn by a seeded hash."""
-    draw = F.xxhash64(F.col(query), F.col(code), F.lit(seed))
+    draw = F.md5(F.concat_ws(":", F.col(query).cast("string"), F.col(code).cast("string"), F.lit(seed)).cast("binary"))
     others = top_k(pairs.filter(F.col(label) == 0), query, [draw.asc(), F.asc(code)], most, "__n").drop("__n")
     return pairs.filter(F.col(label) == 1).unionByName(others)
 
@@ -75,7 +75,7 @@ def holdout(examples: DataFrame, id: str, share: float = 0.1, least: int = 50, s
     A top-k of hashes gives the bound; the split itself is a filter.
     """
     n = examples.count()
-    draw = F.struct(F.xxhash64(F.col(id), F.lit(seed)), F.col(id))
+    draw = F.struct(F.md5(F.concat_ws(":", F.col(id).cast("string"), F.lit(seed)).cast("binary")), F.col(id))
     size = min(n, max(least, int(share * n)))
     last = examples.select(draw.alias("d")).orderBy("d").limit(size).agg(F.max("d").alias("__last"))
     marked = examples.join(F.broadcast(last)).withColumn("__out", F.coalesce(draw <= F.col("__last"), F.lit(False))).drop("__last")

@@ -80,3 +80,18 @@ def score_pairs(pairs: DataFrame, q: str = "q", norm: str = "normalized", keep:
         work = top_k(work.filter("score > 0"), query, [F.desc("score"), F.asc(order)], keep)
         work = work.withColumn("score_log", score_log(points, F.col("score")))
     return work.drop("__fuzzy")
+
+
+def forest_points(proba: Column, q: Column) -> Column:
+    """The older model's points: 500 times the probability, less for a view, contrast or side that differs."""
+    c = F.col
+    views = F.when(q["views"].isNotNull() & (q["views"] != c("views")), -100).otherwise(0)
+    contrast = F.when((q["contrast"] != "UNKNOWN") & (q["contrast"] != c("contrast")), -120).otherwise(0)
+    side = F.when((q["laterality"] != "NONE") & ~c("laterality").isin("NONE") & (q["laterality"] != c("laterality")), -150).otherwise(0)
+    return F.greatest(proba * 500 + views + contrast + side, F.lit(0.0))
+
+
+def forest_or_rules(proba: Column, rules: Column, q: Column) -> Column:
+    """The better of both models, but the rules alone where the body parts differ."""
+    differs = (F.size(q["body_parts"]) > 0) & (F.size(F.col("regions")) > 0) & ~F.arrays_overlap(q["body_parts"], F.col("regions"))
+    return F.when(differs, rules).otherwise(F.greatest(forest_points(proba, q), rules))

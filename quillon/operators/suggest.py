@@ -9,6 +9,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillon.functions.rewrite import review_key
 from quillon.operators.index import top_k
@@ -69,7 +70,7 @@ def balanced_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_object(texts: pd.Series) -> pd.Series:
     return texts.map(balanced_object)
 
