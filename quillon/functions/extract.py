@@ -84,7 +84,7 @@ def body_vocabulary(catalog_regions: DataFrame, region: str = "region", fallback
 
 def body_parts(norm: Column, vocabulary: Column, aliases: Mapping[str, str] = T.BODY_ALIASES, drop: Sequence[str] = T.NOT_BODY, most: int = 3) -> Column:
     """Parts of ``vocabulary`` (a sorted array) named in the text, then those that aliases name; the first ``most``, less ``drop``."""
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(c).alias("c")) for a, c in aliases.items()])
+    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(c).alias("c")) for a, c in aliases.items()]).cast("array<struct<a:string,c:string>>")
     named = F.filter(vocabulary, lambda v: (v != "") & (v != "UNKNOWN") & rewrite.has_phrase(norm, v))
     also = F.transform(F.filter(table, lambda x: rewrite.has_phrase(norm, x["a"])), lambda x: x["c"])
     return F.array_except(F.slice(F.array_distinct(F.concat(named, also)), 1, most), F.array(*map(F.lit, drop)))

@@ -200,7 +200,7 @@ def expand_hints(spark, sf_dir):
 def catalog_enums(spark, sf_dir):
     c = F.col
     side = F.when(c("p_size") % 4 == 0, "lt").when(c("p_size") % 4 == 1, "Bilateral").otherwise("N/A")
-    regions = extract.catalog_regions(F.replace(F.replace(c("p_name"), F.lit("old"), F.lit("none")), F.lit(" "), F.lit(" / ")))
+    regions = extract.catalog_regions(F.replace(F.regexp_replace("p_name", "^old", "none"), F.lit(" "), F.lit(" / ")))
     return table(spark, sf_dir, "part").select(
         "p_partkey",
         extract.catalog_modality(c("p_type")).alias("modality"),
