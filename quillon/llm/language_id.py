@@ -123,7 +123,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 found[lang, script(w)] += n * len(w)
                 for g in grams(w):
                     found[lang, str(g)] += n
-    yield pd.DataFrame([(lang, item, n) for (lang, item), n in found.items()], columns=["lang", "item", "n"])
+    if found:
+        yield pd.DataFrame([(lang, item, n) for (lang, item), n in found.items()], columns=["lang", "item", "n"])
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 3000) -> Model:

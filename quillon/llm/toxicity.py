@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from quillon.storage import stash
 
 #: Strings of each category; documents at least with a string; folds; ridge; rounds of Newton's method.
-GRAMS, LEAST, FOLDS, RIDGE, NEWTON = 192, 5, 4, 1.0, 12
+GRAMS, LEAST, FOLDS, RIDGE, NEWTON = 192, 3, 4, 0.3, 12
 ROWS = 6000
 SPACE = re.compile(r"\s+")
 STYLE = ("log_words", "upper", "digit", "punctuation", "non_ascii")
@@ -83,7 +83,7 @@ def style(text: str | None) -> list[float]:
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     """Weights of a ridge logistic regression, the intercept last."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    if y.min(initial=1) == y.max(initial=0):
+    if not len(y) or y.min() == y.max():
         w = np.zeros(x.shape[1])
         w[-1] = 30.0 if len(y) and y[0] else -30.0
         return w
@@ -163,7 +163,8 @@ def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     found[g] += marks
                 else:
                     found[g] = marks.copy()
-    yield pd.DataFrame({"gram": list(found), "n": [v.tolist() for v in found.values()]})
+    if found:
+        yield pd.DataFrame({"gram": list(found), "n": [v.tolist() for v in found.values()]})
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[Category] = CATEGORIES, id: str = "doc_id", text: str = "text", rows: int = ROWS) -> Chain:
@@ -196,10 +197,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[Category] = C
             yield pd.DataFrame({"id": batch["__id"].astype(str), "x": [r.tobytes() for r in x], "y": batch["marks"].map(lambda m: bytes(m.astype("uint8")))})
 
     got = sorted(map(tuple, seen.mapInPandas(rows_of, "id string, x binary, y binary").collect()))
-    x = np.array([np.frombuffer(r[1], dtype=np.float32) for r in got]).reshape(len(got), -1).astype(np.float64)
-    y = np.array([np.frombuffer(r[2], dtype=np.uint8) for r in got]).reshape(len(got), -1).astype(np.float64)
-    if not len(got):
-        x, y = np.zeros((0, len(STYLE))), np.zeros((0, len(categories)))
+    width = len(chain.strings) + len(STYLE)
+    x = np.array([np.frombuffer(r[1], dtype=np.float32) for r in got], dtype=np.float64).reshape(len(got), width)
+    y = np.array([np.frombuffer(r[2], dtype=np.uint8) for r in got], dtype=np.float64).reshape(len(got), len(categories))
     chain.train(x, y, np.array([crc32(r[0].encode()) % FOLDS for r in got], dtype=np.int64))
     return chain
 
