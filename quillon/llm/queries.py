@@ -139,8 +139,7 @@ ORACLES = {
         e AS (
           SELECT *, 2 * source_size <= weight * (total - taken_up) / open AS full_ FROM o),
         l AS (
-          SELECT min_by(taken_up, (open, source)) FILTER (full_) AS t0,
-                 coalesce(sum(2 * source_size) FILTER (full_), 0) AS up, coalesce(sum(weight) FILTER (NOT full_), 0) AS open_ FROM e),
+          SELECT coalesce(sum(2 * source_size) FILTER (full_), 0) AS up, coalesce(sum(weight) FILTER (NOT full_), 0) AS open_ FROM e),
         g AS (
           SELECT e.source, source_size,
                  CASE WHEN full_ THEN CAST(2 * source_size AS DOUBLE) ELSE weight * (total - up) / open_ END AS target

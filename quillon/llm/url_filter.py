@@ -15,6 +15,8 @@ held as literals in the plan; level 1 takes ``BITS_PER_KEY`` bits for each rule
 and later levels are smaller, so their size follows the list of rules and never
 the corpus.  A list beyond ``MAX_KEYS`` is refused rather than broadcast.
 
+Of several rules the longest (host and path together) wins, then the later by code point.
+
 Cases.  A null URL, or one without ``://``, has an empty host and path, no rule
 and the default verdict.  Repeated URLs are judged alike.  A rule listed twice
 counts once; listed with both verdicts it is an error.  Other columns are kept.
@@ -55,8 +57,8 @@ def path_of(url: Column) -> Column:
 
 
 def _shapes(rules: Sequence[Rule]) -> list[tuple[int, int]]:
-    """Labels of the host and characters of the path; a longer host, then a longer path wins."""
-    return sorted({(r.host.count(".") + 1, len(r.path)) for r in rules}, key=lambda s: (-s[0], -s[1]))
+    """Labels of the host and characters of the path."""
+    return sorted({(r.host.count(".") + 1, len(r.path)) for r in rules})
 
 
 def _candidates(host: Column, path: Column, shapes: Sequence[tuple[int, int]]) -> list[Column]:
@@ -136,6 +138,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", default: st
     universe = stash(parts.select(F.explode(F.array_distinct(keys)).alias("key")).distinct())
     lists = {v: Cascade(_key_table(spark, [r for r in rules if r.verdict == v]), universe) for v in ("block", "allow")}
     listed = lambda k: lists["block"].holds(k) | lists["allow"].holds(k)
-    rule = F.coalesce(*[F.when(k.isNotNull() & listed(k), k) for k in _candidates(F.col("host"), F.col("path"), shapes)], F.lit(None).cast("string"))
+    found = [F.when(k.isNotNull() & listed(k), F.struct(F.length(k).alias("n"), k.alias("key"))) for k in _candidates(F.col("host"), F.col("path"), shapes)]
+    found += [F.lit(None).cast("struct<n:int,key:string>")] * 2
+    rule = F.greatest(*found)["key"]
     verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(lists["block"].holds(F.col("rule")), "block").otherwise("allow")
     return parts.withColumn("rule", rule).withColumn("verdict", verdict)
