@@ -110,6 +110,12 @@ def normalize(text: Column, user_rules: Sequence[Rule] = (), rules: Sequence[Rul
     return cleanup(F.upper(text))
 
 
+def apply_user_rules(text: Column, rules: Sequence[Rule]) -> Column:
+    """User rules on a raw text, whatever its case; bad ones are left out."""
+    good = valid_rules(rules)
+    return fold_rules(text, good, ignore_case=True) if good else text
+
+
 def mapping_key(text: Column) -> Column:
     """Key of a verified mapping: line ends, tabs and commas are spaces; one case, single spaces."""
     return F.upper(F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\r\n\t,", "    "), r"\s+", " ")))

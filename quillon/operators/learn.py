@@ -9,7 +9,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import similarity
@@ -90,6 +90,21 @@ class Ranker:
     names: list[str]
     calibration: IsotonicRegressionModel | None = None
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write weights and calibration under ``path``."""
+        rows = list(enumerate(zip(self.names, self.weights)))
+        frame = spark.createDataFrame([(i, n, float(w)) for i, (n, w) in rows], "ix int, name string, weight double")
+        frame.coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
+        if self.calibration is not None:
+            self.calibration.write().overwrite().save(f"{path}/calibration")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Ranker:
+        rows = spark.read.parquet(f"{path}/weights").orderBy("ix").collect()  # a row for each feature
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/calibration")
+        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        return cls([r.weight for r in rows], [r.name for r in rows], IsotonicRegressionModel.load(f"{path}/calibration") if there else None)
+
     def score(self, rows: DataFrame, name: str = "raw") -> DataFrame:
         return rows.withColumn(name, sum((F.col(c) * w for c, w in zip(self.names, self.weights)), F.lit(0.0)))
 

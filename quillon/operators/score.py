@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import rewrite, similarity
-from quillon.operators.index import top_k
 from quillon.rules import tables as T
 
 
@@ -66,20 +65,26 @@ def boosts(scored: DataFrame, table: Sequence[tuple[str, str, int]], code: str =
     return scored.withColumn(score, F.col(score) + sum(extra, F.lit(0))) if extra else scored
 
 
-def score_pairs(pairs: DataFrame, q: str = "q", norm: str = "normalized", keep: int | None = None, query: str = "qid", order: str = "code_ix") -> DataFrame:
-    """Add ``score`` to pairs; with ``keep``, the best rows of each query with their ``score_log``.
+def _points(q: str, norm: str) -> dict[str, Column]:
+    return terms(F.col(q), F.col(norm), F.coalesce(F.col("char_sim"), F.lit(0.0)), F.col("fuzzy"))
 
-    The fuzzy term runs in Python, so it is worked out once as a column; the log is built
-    for the rows that stay.
-    """
-    work = pairs.withColumn("__fuzzy", similarity.fuzzy(F.col(norm), F.col("desc")))
-    points = terms(F.col(q), F.col(norm), F.coalesce(F.col("char_sim"), F.lit(0.0)), F.col("__fuzzy"))
+
+def score_pairs(pairs: DataFrame, q: str = "q", norm: str = "normalized") -> DataFrame:
+    """Add ``score``, and ``fuzzy``, its one term that runs in Python and so is worked out once as a column."""
+    work = pairs.withColumn("fuzzy", similarity.fuzzy(F.col(norm), F.col("desc")))
     other = F.col(q)["modality"].isNotNull() & (F.col(q)["modality"] != F.col("modality"))
-    work = work.withColumn("score", rule_score(points, other))
-    if keep is not None:
-        work = top_k(work.filter("score > 0"), query, [F.desc("score"), F.asc(order)], keep)
-        work = work.withColumn("score_log", score_log(points, F.col("score")))
-    return work.drop("__fuzzy")
+    return work.withColumn("score", rule_score(_points(q, norm), other))
+
+
+def with_log(rows: DataFrame, q: str = "q", norm: str = "normalized", score: str = "score") -> DataFrame:
+    """Add ``score_log`` to rows of :func:`score_pairs`; meant for those that ranking has kept."""
+    return rows.withColumn("score_log", score_log(_points(q, norm), F.col(score)))
+
+
+def placeholder_log(total: Column, prior: int = T.PRIOR_POINTS) -> Column:
+    """The log of a verified row that no ranking had: a prior and the total."""
+    row = lambda n, v: F.struct(F.lit(n).alias("component"), v.cast("int").alias("value"), F.lit("").alias("detail"))
+    return F.array(row("ranker", total - prior), row("prior", F.lit(prior)), row("TOTAL", total))
 
 
 def forest_points(proba: Column, q: Column) -> Column:

@@ -81,10 +81,17 @@ def read_answer(answer: Column) -> Column:
     return F.struct(got["code"].alias("code"), got["description"].alias("description"), F.coalesce(got["confidence"], F.lit(0.5)).alias("confidence"))
 
 
-def guarded(suggestions: DataFrame, candidates: DataFrame, code: str = "code", query: str = "qid") -> DataFrame:
-    """Suggestions of a real code among the query's own candidates."""
+def guarded(suggestions: DataFrame, candidates: DataFrame, code: str = "code", query: str = "qid", modality: str | None = None) -> DataFrame:
+    """Suggestions of a real code among the query's own candidates.
+
+    With ``modality``, a column of both tables: a query that has one takes only codes that share it.
+    """
     named = suggestions.filter(F.coalesce(F.upper(code), F.lit("UNCLASSIFIED")) != "UNCLASSIFIED")
-    return named.join(candidates.select(query, code), [query, code], "left_semi")
+    if modality is None:
+        return named.join(candidates.select(query, code), [query, code], "left_semi")
+    own = candidates.select(F.col(query).alias("__q"), F.col(code).alias("__c"), F.col(modality).alias("__m"))
+    fits = (F.col(query) == F.col("__q")) & (F.col(code) == F.col("__c")) & (F.col(modality).isNull() | (F.col(modality) == F.col("__m")))
+    return named.join(own, fits, "left_semi")
 
 
 def enqueue(pending: DataFrame, new: DataFrame, order: str = "created_at") -> DataFrame:

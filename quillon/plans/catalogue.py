@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import extract, rewrite, similarity
 from quillon.operators import generate, index, learn, rank, retrieve, score, suggest, tables
+from quillon.plans import match
 from quillon.sources import readers
 from quillon.storage import shared_dir, stash
 from quillon.streaming import feedback
@@ -729,11 +730,8 @@ def pending_first_wins(spark, sf_dir):
 # --- end to end -----------------------------------------------------------------------
 
 
-@query()
-def match_end_to_end(spark, sf_dir):
+def matched(spark, sf_dir) -> DataFrame:
     """Worded studies of all parts' sizes against a catalog in which sizes are views, with verified mappings."""
-    from quillon.plans.match import Matcher
-
     part = table(spark, sf_dir, "part")
     body = F.element_at(F.array(*map(F.lit, ["Chest", "Knee", "Foot", "Head", "Pelvis", "Hand"])), (F.col("p_size") % 6 + 1))
     kind = F.element_at(F.array(*map(F.lit, ["XR", "CT", "MR", "US"])), (F.col("p_size") % 4 + 1))
@@ -746,5 +744,15 @@ def match_end_to_end(spark, sf_dir):
     cat = stash(readers.enrich_catalog(rows))
     maps = rows.select(F.lower("description").alias("query"), F.col("Code").alias("code"), "ix").withColumn("norm", rewrite.normalize(F.col("query")))
     asks = part.groupBy("p_size", "p_type").agg(F.min("p_partkey").alias("qid")).select("qid", F.concat_ws(" ", F.lower(kind), body, F.when(F.col("p_type") == "LARGE", F.lower(side)), F.concat(F.col("p_size").cast("string"), F.lit("v"))).alias("query"))
-    out = Matcher(cat, stash(maps)).match(asks, 5)
-    return out.select("qid", "original", "normalized", "rank", "code", "score", "method", "is_exact", "confidence", "needs_review")
+    return match.Matcher(cat, stash(maps)).match(asks, 5)
+
+
+@query()
+def match_end_to_end(spark, sf_dir):
+    return matched(spark, sf_dir).select("qid", "original", "normalized", "rank", "code", "score", "method", "is_exact", "confidence", "needs_review")
+
+
+@query()
+def match_responses(spark, sf_dir):
+    """One row for each query, with its matches and their score logs in order."""
+    return match.responses(matched(spark, sf_dir))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import extract, rewrite, similarity
 from quillon.operators import index, learn, rank, retrieve, score
 from quillon.rules import tables as T
+from quillon.storage import stash
 
 
 class Matcher:
@@ -36,7 +37,8 @@ class Matcher:
             self.sparse[name] = (grams, vocab, index.weights(counts, vocab, "code"))
 
     def parsed(self, queries: DataFrame, text: str = "query") -> DataFrame:
-        return extract.parse(queries, self.vocabulary, text, self.user_rules)
+        """Queries with their attributes, written once: many branches of the plan read them."""
+        return stash(extract.parse(queries, self.vocabulary, text, self.user_rules))
 
     def sims(self, parsed: DataFrame, kind: str) -> DataFrame:
         grams, vocab, codes = self.sparse[kind]
@@ -68,18 +70,51 @@ class Matcher:
         return self.candidates(parsed).join(parsed, "qid").join(F.broadcast(self.catalog), "code").join(self.aliases, "code", "left").join(self.counts, "code", "left")
 
     def match(self, queries: DataFrame, n: int = T.MAX_RESULTS, ranker: learn.Ranker | None = None, min_score: int = T.MIN_SCORE, boosts: Sequence[tuple[str, str, int]] = ()) -> DataFrame:
-        """Ranked rows (one for each query and match) of ``queries`` (qid, query)."""
-        parsed = self.parsed(queries)
-        scored = score.score_pairs(self.pairs(parsed))
+        """Ranked rows (one for each query and match) of ``queries`` (qid, query).
+
+        A query without any match has one row without a code.  A column ``hint`` with a
+        modality is put in front of queries that do not name it.
+        """
+        asked = hinted(queries) if "hint" in queries.columns else queries
+        asked = asked.withColumn("original", F.col("query")).withColumn("query", rewrite.apply_user_rules(F.col("query"), self.user_rules))
+        parsed = self.parsed(asked)
+        scored = stash(score.score_pairs(self.pairs(parsed)))
         if ranker is None:
             best = rank.ranked(score.boosts(scored, boosts).filter("score > 0"), n).withColumn("method", F.lit("RULES"))
+            best = score.with_log(best).withColumn("calibrated_confidence", F.lit(None).cast("double"))
         else:
             raw = ranker.score(learn.features(scored))
-            best = rank.ranked(raw.withColumn("score", similarity.display_score(F.col("raw")).cast("double")), n).withColumn("method", F.lit("RANKER"))
+            best = score.with_log(rank.ranked(raw, n, score="raw"))
+            sure = ranker.confidence(rank.margin(raw, score="raw")).select("qid", F.col("calibrated_confidence").alias("__sure"))
+            best = best.join(sure, "qid", "left").withColumn("calibrated_confidence", F.when(F.col("rank") == 1, F.col("__sure")))
+            best = best.withColumn("score", similarity.display_score(F.col("raw")).cast("double")).withColumn("method", F.lit("RANKER"))
         verified = retrieve.with_verified(parsed.select("qid", F.col("normalized").alias("norm")), self.exact).select("qid", "verified_code")
-        kept = ["qid", "code", "code_ix", "rank", "score", "method", "description", "modality", "laterality", "contrast", "views"]
-        out = rank.promote(best.select(*kept), verified, self.catalog.select("code", "code_ix", "description", "modality", "laterality", "contrast", "views"), n)
+        shown = ["code", "code_ix", "description", "modality", "laterality", "contrast", "views"]
+        best = stash(best.select("qid", "rank", "score", "method", "score_log", "calibrated_confidence", *shown))
+        out = rank.promote(best, stash(verified), self.catalog.select(*shown), n)
         out = rank.floor_exact(out.withColumn("method", F.coalesce("method", F.lit("RULES"))), min_score)
+        out = out.withColumn("score_log", F.coalesce("score_log", score.placeholder_log(F.col("score"))))
         out = out.withColumn("confidence", similarity.confidence_band(F.col("score")))
         out = out.withColumn("needs_review", (F.col("rank") == 1) & rank.needs_review(F.col("score"), F.col("is_exact"), min_score))
-        return parsed.select("qid", F.col("query").alias("original"), "normalized").join(out, "qid", "left")
+        return parsed.select("qid", "original", "normalized", "q").join(out, "qid", "left")
+
+
+def hinted(queries: DataFrame, text: str = "query", hint: str = "hint") -> DataFrame:
+    """Queries with their manual modality in front, unless they have it somewhere."""
+    needed = F.col(hint).isNotNull() & ~F.upper(F.coalesce(text, F.lit(""))).contains(F.upper(hint))
+    return queries.withColumn(text, F.when(needed, F.concat_ws(" ", hint, text)).otherwise(F.col(text)))
+
+
+def responses(rows: DataFrame, min_score: int = T.MIN_SCORE) -> DataFrame:
+    """One row per query: what was asked and understood, policy, and ``matches`` in order."""
+    one = F.struct(
+        "rank", "code", "description", "score", "confidence", "method", "modality", "laterality", "contrast", "views", "is_exact", "calibrated_confidence", "score_log"
+    )
+    grouped = rows.groupBy("qid", "original", "normalized").agg(
+        F.first(F.struct("q.modality", "q.views", "q.body_parts")).alias("__q"), F.array_sort(F.collect_list(F.when(F.col("code").isNotNull(), one))).alias("matches"), F.max("score").alias("__top")
+    )
+    ok = F.coalesce(F.col("__top") >= min_score, F.lit(False))
+    return grouped.select(
+        "qid", "original", "normalized", "__q.modality", "__q.views", "__q.body_parts", F.lit(min_score).alias("min_score"),
+        ok.alias("top_ok"), F.when(~ok, F.col("__top")).alias("rejected_score"), "matches",
+    )

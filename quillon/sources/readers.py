@@ -94,6 +94,33 @@ def write_seed(pairs: DataFrame, path: str, note: str = "seeded variant") -> Non
     write_mappings_csv(pairs.select(F.col("variant").alias("query"), "code", F.lit(note).alias("note")), path)
 
 
+def write_template(spark: SparkSession, path: str) -> None:
+    """An empty catalog to fill in: the header and two rows that show the forms of values."""
+    rows = [("SAMPLE1", "N/A", "WOC", "1", "CT Chest wo IV Contrast", "CT", "CHEST"), ("SAMPLE2", "RIGHT", "N/A", "3", "XR Ankle Right 3 Views", "XR", "ANKLE")]
+    write_catalog_csv(spark.createDataFrame(rows, CATALOG).coalesce(1), path)
+
+
+def write_rules(spark: SparkSession, rules: list[rewrite.Rule], path: str) -> None:
+    """Save the valid ones of ``rules`` in the form that :func:`read_rules` reads."""
+    data = {"replacements": [{"pattern": p, "replacement": r} for p, r in rewrite.valid_rules(rules)]}
+    spark.createDataFrame([(json.dumps(data),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(HISTORY).parquet(path)
+
+
+def append_history(rows: DataFrame, path: str) -> None:
+    """Append rows; :func:`quillon.operators.tables.retain` compacts from time to time."""
+    rows.write.mode("append").parquet(path)
+
+
+def reload(frame: DataFrame, read) -> DataFrame:
+    """Let go of a cached frame and read it again."""
+    frame.unpersist()
+    return read().cache()
+
+
 @dataclass(frozen=True)
 class Settings:
     """What a deployment may set."""
@@ -129,3 +156,7 @@ class Settings:
 
 def read_settings(spark: SparkSession, path: str) -> Settings:
     return Settings.merged(json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()) or "{}"))
+
+
+def write_settings(spark: SparkSession, settings: Settings, path: str) -> None:
+    spark.createDataFrame([(json.dumps(asdict(settings)),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -4,9 +4,9 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import index
+from quillon.operators import index, learn
 from quillon.plans import training
-from quillon.plans.match import Matcher
+from quillon.plans.match import Matcher, hinted, responses
 from quillon.sources import readers
 from quillon.streaming import feedback
 
@@ -51,6 +51,12 @@ def test_rules_and_settings(spark, tmp_path):
     (tmp_path / "l.json").write_text(json.dumps([{"pattern": "a", "replacement": ""}]))
     assert readers.read_rules(spark, str(tmp_path / "r.json")) == [("a", "b")] and readers.read_rules(spark, str(tmp_path / "l.json")) == [("a", "")]
     s = readers.Settings.merged({"min_score": "100", "max_results": "x", "review": True, "api_key": "secret-key", "else": 1})
+    readers.write_rules(spark, [("a", "b"), ("(", "x")], str(tmp_path / "w"))
+    assert readers.read_rules(spark, str(tmp_path / "w")) == [("a", "b")]
+    readers.write_settings(spark, s, str(tmp_path / "s"))
+    assert readers.read_settings(spark, str(tmp_path / "s")) == s
+    readers.write_template(spark, str(tmp_path / "t"))
+    assert readers.enrich_catalog(readers.read_catalog_csv(spark, str(tmp_path / "t"))).count() == 2
     assert (s.min_score, s.max_results) == (100, 15) and s.shown()["api_key"] == "******-key" and s.can_suggest()
 
 
@@ -75,7 +81,23 @@ def test_match(spark, matcher):
     assert single == {(r.qid, r["rank"], r.code, r.score) for r in out[3]}
 
 
-def test_training(spark, matcher):
+def test_hints_logs_and_responses(spark, matcher):
+    asks = spark.createDataFrame([(1, "head wo", "CT"), (2, "xr knee lt 2v", None), (3, "zzz", "QQ")], "qid int, query string, hint string")
+    assert [r.query for r in hinted(asks).orderBy("qid").collect()] == ["CT head wo", "xr knee lt 2v", "QQ zzz"]
+    rows = matcher.match(asks, 2)
+    for r in rows.filter("code IS NOT NULL").collect():
+        assert r.score_log[-1].component == "TOTAL" and (r.is_exact or r.score == 0 or abs(sum(x.value for x in r.score_log[:-1]) - r.score) <= 1)
+    got = {r.qid: r for r in responses(rows).collect()}
+    assert got[1].matches[0].code == "C1" and got[1].modality == "CT" and got[2].views == 2 and got[2].body_parts == ["KNEE"] and got[2].top_ok
+    assert len(got) == 3 and not got[3].top_ok
+
+
+def test_verified_row_without_any_match_gets_a_log(spark, matcher):
+    (r,) = matcher.match(spark.createDataFrame([(1, "belly sono")], "qid int, query string"), 1).collect()
+    assert r.code == "C4" and r.is_exact and r.score_log[-1].component == "TOTAL"
+
+
+def test_training(spark, matcher, tmp_path):
     few = training.examples_of(matcher.mappings)
     assert training.train(matcher, few) is None
     texts = {"C1": "ct head w/o contrast", "C2": "ct head w contrast", "C3": "knee left xr", "C4": "right knee 2 views", "C5": "pelvis us"}
@@ -84,6 +106,9 @@ def test_training(spark, matcher):
     asks = many.select("qid", "query").limit(10)
     top = matcher.match(asks, 1, ranker).join(many.select("qid", "gold"), "qid")
     assert top.filter("code = gold").count() >= 9 and top.first().method == "RANKER"
+    ranker.save(spark, str(tmp_path / "ranker"))
+    again = learn.Ranker.load(spark, str(tmp_path / "ranker"))
+    assert again.weights == ranker.weights and again.names == ranker.names and (again.calibration is None) == (ranker.calibration is None)
 
 
 def test_schedule():
