@@ -24,17 +24,17 @@ class Matcher:
     def __init__(self, catalog: DataFrame, mappings: DataFrame, user_rules: Sequence[rewrite.Rule] = (), encoder: Callable[[Column], Column] | None = None):
         self.catalog, self.mappings, self.user_rules = catalog.withColumnRenamed("ix", "code_ix"), mappings, list(user_rules)
         self.encoder = encoder or index.hashed_encoder()
-        self.aliases, self.counts = index.alias_tokens(mappings), index.train_counts(mappings)
-        self.vocabulary = extract.body_vocabulary(catalog, "regions")
+        self.aliases, self.counts = stash(index.alias_tokens(mappings)), stash(index.train_counts(mappings))
+        self.vocabulary = stash(extract.body_vocabulary(catalog, "regions"))
         texts = index.alias_text(self.catalog.withColumn("description", F.col("desc")), mappings)
-        self.texts = texts.join(self.catalog.select("code", "code_ix"), "code")
+        self.texts = stash(texts.select("code", "text", self.encoder(F.col("text")).alias("cv")))
         self.n = self.texts.count()
-        self.exact = retrieve.exact_map(mappings, catalog)
+        self.exact = stash(retrieve.exact_map(mappings, catalog))
         self.sparse = {}
         for name, grams in (("char", index.char_grams), ("word", index.word_grams)):
             counts = index.term_counts(self.texts, "code", grams(F.col("text")))
-            vocab = index.vocabulary(counts, self.n).cache()
-            self.sparse[name] = (grams, vocab, index.weights(counts, vocab, "code"))
+            vocab = stash(index.vocabulary(counts, self.n))
+            self.sparse[name] = (grams, vocab, stash(index.weights(counts, vocab, "code")))
 
     def parsed(self, queries: DataFrame, text: str = "query") -> DataFrame:
         """Queries with their attributes, written once: many branches of the plan read them."""
@@ -47,13 +47,12 @@ class Matcher:
 
     def dense(self, parsed: DataFrame) -> DataFrame:
         q = parsed.select("qid", self.encoder(F.col("normalized")).alias("qv"))
-        c = self.texts.select("code", self.encoder(F.col("text")).alias("cv"))
-        return q.join(F.broadcast(c)).select("qid", "code", similarity.dot(F.col("qv"), F.col("cv")).alias("embed_sim"))
+        return q.join(F.broadcast(self.texts.select("code", "cv"))).select("qid", "code", similarity.dot(F.col("qv"), F.col("cv")).alias("embed_sim"))
 
     def candidates(self, parsed: DataFrame, k: int = T.K_SERVE) -> DataFrame:
         """(qid, code) and similarities: the block of the modality and the nearest by three measures."""
         asked = parsed.select("qid", F.col("q.modality").alias("modality"))
-        char, word, dense = self.sims(parsed, "char"), self.sims(parsed, "word"), self.dense(parsed)
+        char, word, dense = stash(self.sims(parsed, "char")), stash(self.sims(parsed, "word")), self.dense(parsed)
         pools = [
             retrieve.blocked(asked, self.catalog.select("code", "modality"), "modality"),
             retrieve.pool_of(dense, k, sim="embed_sim"),
@@ -94,6 +93,8 @@ class Matcher:
         out = rank.promote(best, stash(verified), self.catalog.select(*shown), n)
         out = rank.floor_exact(out.withColumn("method", F.coalesce("method", F.lit("RULES"))), min_score)
         out = out.withColumn("score_log", F.coalesce("score_log", score.placeholder_log(F.col("score"))))
+        total = lambda x: F.when(x["component"] == "TOTAL", x.withField("value", F.col("score").cast("int"))).otherwise(x)
+        out = out.withColumn("score_log", F.transform("score_log", total))
         out = out.withColumn("confidence", similarity.confidence_band(F.col("score")))
         out = out.withColumn("needs_review", (F.col("rank") == 1) & rank.needs_review(F.col("score"), F.col("is_exact"), min_score))
         return parsed.select("qid", "original", "normalized", "q").join(out, "qid", "left")
