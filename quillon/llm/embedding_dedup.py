@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from quillon.llm.components import components
 from quillon.storage import discard, stash
 
-THRESHOLD, K, TREES, LEAF, BLOCK, ROUNDS = 0.95, 10, 4, 256, 1024, 4
+THRESHOLD, K, TREES, LEAF, BLOCK, ROUNDS = 0.95, 10, 4, 256, 256, 4
 #: Changed entries, as a share of all, at which descent stops; recall wanted; most queries of the audit; most repeats.
 STILL, RECALL, QUERIES, REPEATS = 0.005, 0.98, 500, 3
 
@@ -146,7 +146,8 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
 def seed_graph(nodes: DataFrame, n: int, seeds: list[int], k: int) -> DataFrame:
     bits = max(0, ceil(log2(max(1, n / LEAF))))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    filed = nodes.select("node", "vec").mapInPandas(_file(seeds, bits), "tree int, dim int, code long, p double, node long, vec array<double>")
+    kind = nodes.schema["vec"].dataType.simpleString()
+    filed = nodes.select("node", "vec").mapInPandas(_file(seeds, bits), f"tree int, dim int, code long, p double, node long, vec {kind}")
     runs = filed.repartitionByRange(parts, "tree", "dim", "code", "p").sortWithinPartitions("tree", "dim", "code", "p", "node")
     return runs.mapInPandas(_best(k), "a long, b long, sim double")
 
@@ -229,7 +230,7 @@ def near_groups(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding",
     """One row per vector: id, n_links, component_id and kept."""
     rows = stash(vectors.select(F.col(id), F.when(usable(F.col(vec)) & F.col(id).isNotNull(), F.col(vec)).alias("vec")))
     classes = rows.filter("vec IS NOT NULL").groupBy("vec").agg(F.min(id).cast("long").alias("node"), F.count(F.lit(1)).alias("weight"))
-    nodes = stash(classes.withColumn("vec", F.col("vec").cast("array<double>")))
+    nodes = stash(classes)
     n = nodes.count()
     slim = nodes.select("node", "vec", "weight")
     graph, links = None, None
@@ -252,7 +253,7 @@ def near_groups(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding",
         F.coalesce("component", "node").alias("component"),
         (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"),
     )
-    out = rows.withColumn("key", F.col("vec").cast("array<double>")).join(stash(named), "key", "left")
+    out = rows.withColumnRenamed("vec", "key").join(stash(named), "key", "left")
     component = F.coalesce("component", F.col(id))
     return out.select(
         id, F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col(id).eqNullSafe(component).alias("kept")
