@@ -34,10 +34,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.workers import release, small_batches
+
 #: Buckets of trigrams; cost of a switch (nats); least share of a script to count as a language's; words remembered by a worker.
-GRAMS, SWITCH, SCRIPT_SHARE, MEMORY = 1 << 15, 8.0, 0.01, 300_000
+GRAMS, SWITCH, SCRIPT_SHARE, MEMORY = 1 << 15, 8.0, 0.01, 200_000
 #: Words times languages in one Viterbi array.
-CELLS = 4_000_000
+CELLS = 2_000_000
 WORD = re.compile(r"[^\W\d_]+")
 
 # First code points of runs of one script, and the script.
@@ -129,6 +131,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 3000) -> Model:
     """Learn from the rows of ``labelled`` with a language and a text."""
+    small_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     sizes = dict(rows.groupBy("lang").count().collect())
     share = F.lit(1.0)
@@ -209,7 +212,7 @@ class Labeller:
         return viterbi([self.table[[ids[w] for w in doc]] if doc else self.table[:0] for doc in words])
 
 
-def _pieces(texts: pd.Series, chars: int = 4_000_000) -> Iterator[list[str]]:
+def _pieces(texts: pd.Series, chars: int = 2_000_000) -> Iterator[list[str]]:
     """Whole texts in lists of about ``chars`` characters."""
     some, n = [], 0
     for t in texts:
@@ -225,6 +228,7 @@ def _pieces(texts: pd.Series, chars: int = 4_000_000) -> Iterator[list[str]]:
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score``; columns of those names are replaced."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -236,12 +240,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for some in _pieces(batch):
                 words = [WORD.findall(t.lower()) if m.langs else [] for t in some]
                 for doc, labels in zip(words, labeller(words) if m.langs else [None] * len(words)):
-                    if not doc:
+                    if not any(map(str.isalpha, doc)):  # none, or numerals such as superscripts
                         rows.append(("und", 0.0))
                         continue
                     letters = np.bincount(labels, weights=np.fromiter(map(len, doc), dtype=np.float64, count=len(doc)), minlength=len(m.langs))
                     rows.append((m.langs[int(letters.argmax())], float(letters.max() / letters.sum())))
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+        release()
 
     return _with_struct(docs, of(F.col(text)), ["lang_pred", "score"])
 

@@ -31,10 +31,12 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.workers import small_batches, tidy
 from quillon.storage import stash
 
 #: Tokens of a sequence; tails of a shard; parameters of BM25; share of a shard's tails from which a term is dense.
@@ -68,7 +70,7 @@ def ordered_ranks(path: str) -> dict[bytes, int] | None:
     return {bytes(names[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
+def encoder(path: str) -> Callable[[str], np.ndarray]:
     """Text to the ids that the tokenizer in ``path`` gives, without special tokens.
 
     Where the file allows, its merges are run by a faster engine with equal ids.
@@ -77,12 +79,13 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     if ranks is not None:
         import tiktoken
 
-        return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: fast.encode_to_numpy(text, disallowed_special=())
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
-    return lambda text: own.encode(text, add_special_tokens=False).ids
+    return lambda text: np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def checksum(ids: np.ndarray) -> int:
@@ -102,12 +105,14 @@ _CUT = "key string, start long, length long, ids_crc32 long, doc_tokens long, se
 def _cut(path: str, window: int):
     """Documents (key, text) to full windows and tails."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part, made = encoder(path), TaskContext.get().partitionId(), 0
+    names = [c.split(" ")[0] for c in _CUT.split(", ")]
+    kinds = pa.schema([(n, {"key": pa.string(), "ids": pa.binary()}.get(n, pa.int64())) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, part, made, out = encoder(path), TaskContext.get().partitionId(), 0, []
         for batch in batches:
-            out = []
-            for key, text in zip(batch["key"], batch["text"]):
-                ids = np.array([*encode(text), END], dtype=np.uint32)
+            for key, text in zip(batch.column("key"), batch.column("text")):  # one text at a time becomes a Python string
+                key, ids = key.as_py(), np.append(encode(text.as_py()), np.uint32(END))
                 n = len(ids)
                 for a in range(0, n - window + 1, window):
                     out.append((key, a, window, checksum(ids[a : a + window]), n, part << 33 | made << 1, 0, 0, None))
@@ -116,10 +121,14 @@ def _cut(path: str, window: int):
                     tail = ids[n - n % window :]
                     terms = np.unique(tail)
                     near, nearer = int(_mixed(terms, 1).min()), int(_mixed(terms, 2).min())
-                    out.append((key, n - len(tail), len(tail), 0, n, -1, near, nearer, tail.astype("<u4").tobytes() if tail.max() > 65535 else tail.astype("<u2").tobytes()))
-            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in _CUT.split(", ")])
+                    out.append((key, n - len(tail), len(tail), 0, n, -1, near, nearer, tail.astype("<u4" if terms[-1] > 65535 else "<u2").tobytes()))
+                if len(out) >= 2000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
 
-    return run
+    return tidy(run)
 
 
 def _ids(data: bytes, length: int) -> np.ndarray:
@@ -242,14 +251,15 @@ def _pack(shipped, window: int, shard: int):
                 out, made = part_of(rest.iloc[a : a + half], base, made)
                 yield out
 
-    return run
+    return tidy(run)
 
 
 def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id and offset."""
     spark, kind = docs.sparkSession, docs.schema[id].dataType
+    small_batches(spark)
     rows = docs.select(F.col(id).cast("string").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    cut = stash(rows.mapInPandas(_cut(tokenizer, window), _CUT))
+    cut = stash(rows.mapInArrow(_cut(tokenizer, window), _CUT))
     tails = cut.filter("sequence_id < 0")
     counts = dict(tails.select("ids", "length").mapInPandas(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n")).collect())
     n, total = counts.pop(-1, 0), counts.pop(-2, 0)

@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
+from quillon.llm.workers import small_batches
 from quillon.storage import stash
 
 SEED, WORDS, RADIUS = 42, 4, 4
@@ -69,6 +70,8 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """``id`` and ``fp``, the fingerprint as a signed long."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))

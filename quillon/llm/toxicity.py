@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.workers import small_batches
 from quillon.storage import stash
 
 #: Strings of each category; documents at least with a string; folds; ridge; rounds of Newton's method.
@@ -206,6 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[Category] = C
 
 def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """Add a probability column ``p_<category>`` for each category; columns of those names are replaced."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{n}" for n in chain.names]
 
