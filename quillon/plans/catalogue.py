@@ -481,10 +481,10 @@ def first_known_modality(spark, sf_dir):
 
 
 @query(DENSE_SQL + """, n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, code) AS near FROM d),
-    h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY near) AS pick FROM n WHERE near <= 20 AND code % 2 = qid % 2 AND label <> gold)
+    h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY near) AS pick FROM n WHERE near <= 20 AND label // 5 = gold // 5 AND label <> gold)
     SELECT qid, code, sim, pick FROM h WHERE pick <= 3""")
 def hard_negatives(spark, sf_dir):
-    rows = learn.hard_negatives(dense(spark, sf_dir), "qid", "code", F.col("code") % 2 == F.col("qid") % 2, F.col("label") == F.col("gold"))
+    rows = learn.hard_negatives(dense(spark, sf_dir), "qid", "code", F.floor(F.col("label") / 5) == F.floor(F.col("gold") / 5), F.col("label") == F.col("gold"))
     return rows.select("qid", "code", "sim", F.col("pick").cast("bigint").alias("pick"))
 
 
@@ -642,11 +642,11 @@ def history_stats(spark, sf_dir):
 
 
 @query("WITH " + HISTORY_SQL + """, l AS (SELECT normalized, arg_max(id, (created_at, id)) AS id, arg_max(code, (created_at, id)) AS code FROM h GROUP BY 1),
-    k AS (SELECT normalized, id FROM l WHERE code <> 'purchase' AND normalized % 2 = 0)
+    k AS (SELECT normalized, id FROM l WHERE code <> 'purchase')
     SELECT h.id, h.code, CASE WHEN k.id IS NOT NULL THEN 'purchase' END AS corrected_code FROM h LEFT JOIN k USING (id)""")
 def correction_backfill(spark, sf_dir):
     h = history(spark, sf_dir)
-    right = h.filter("normalized % 2 = 0").select("normalized").distinct().withColumn("code", F.lit("purchase"))
+    right = h.select("normalized").distinct().withColumn("code", F.lit("purchase"))
     return tables.backfill(h, right).select("id", "code", "corrected_code")
 
 
