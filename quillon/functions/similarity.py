@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -145,10 +145,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unit(a: Column) -> Column:
     """A vector over its length; a zero vector stays as it is."""
-    length = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: x.cast("double") / F.when(length == 0, 1.0).otherwise(length))
+    over = lambda v, n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    return let(a, lambda v: let(F.sqrt(dot(v, v)), lambda n: over(v, n)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -84,11 +84,13 @@ def hashed_encoder(dim: int = 64) -> Callable[[Column], Column]:
         cell = lambda g: F.pmod(F.xxhash64(g), F.lit(dim)).cast("int")
         sign = lambda g: F.when(F.pmod(F.xxhash64(g, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
         cells = F.transform(grams, lambda g: F.struct(cell(g).alias("c"), sign(g).alias("s")))
-        sums = F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.aggregate(F.filter(cells, lambda x: x["c"] == i), F.lit(0.0), lambda a, x: a + x["s"]),
-        )
-        return similarity.unit(sums)
+
+        def sums(cs: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(cs, lambda x: x["c"] == i), F.lit(0.0), lambda a, x: a + x["s"])
+            )
+
+        return similarity.unit(similarity.let(cells, sums))
 
     return encode
 
