@@ -5,19 +5,22 @@ random hyperplanes: for each of ``TREES`` sets, vectors are sorted by the code o
 their signs (and one more projection) and every run of ``LEAF`` vectors is compared
 in itself.  NN-descent rounds then compare, around each node, its neighbours and
 those whose neighbour it is with each other, and keep each node's ``K`` best, until
-hardly a list changes.  Links are the pairs with a cosine of at least ``threshold``
-(double precision); they connect components (:mod:`quillon.llm.components`).  A list
-whose ``K`` entries are all links is saturated: there may be more.  Lists are then
-enlarged to all members of the component, compared exactly, block by block, so that
-``n_links`` counts every link inside a component, however dense.  An audit compares a
-bounded set of queries with all vectors; while its recall is below ``RECALL``, another
-set of hyperplanes and further rounds follow.
+hardly a list changes.  Links are the pairs with a cosine of
+at least ``threshold`` (double precision); they connect components
+(:mod:`quillon.llm.components`).  A list whose ``K`` entries are all links is saturated:
+there may be more.  Components that hold one are searched against each other exactly
+(:func:`merge`), and within a component lists are enlarged to all its members, compared
+exactly, block by block, so that ``n_links`` counts every link, however dense.  An audit
+compares a bounded set of queries with all vectors; while its recall is below ``RECALL``,
+another set of hyperplanes and further rounds follow.
 
 Scale.  The tables that shuffle are slim lists and copies of vectors, ``2 K`` to a node
 and round.  Runs are cut by range partitioning, so a code that a third of all vectors
 share is spread over tasks.  Reverse lists take the ``K`` first by a hash (NN-descent's
 sampling); what that misses the exact pass over components finds.  In a component
-blocks of ``BLOCK`` meet in pairs; counts leave a block, not pairs.
+blocks of ``BLOCK`` meet in pairs; counts leave a block, not pairs.  Between components
+two blocks meet only where the angle of their centres, less their radii, allows a link
+(tested for tiles of ``TILE`` centres), and one link of two blocks leaves.
 
 Cases.  A vector that is null, empty or zero, or holds a null or non-finite component,
 links with nothing, and so does one whose id is null; these count 0 links, are a
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from quillon.llm.components import components
 from quillon.storage import discard, stash
 
-THRESHOLD, K, TREES, LEAF, BLOCK, ROUNDS = 0.95, 10, 4, 256, 256, 4
+THRESHOLD, K, TREES, LEAF, BLOCK, TILE, ROUNDS = 0.95, 10, 4, 256, 256, 4096, 4
 #: Changed entries, as a share of all, at which descent stops; recall wanted; most queries of the audit; most repeats.
 STILL, RECALL, QUERIES, REPEATS = 0.005, 0.98, 500, 3
 
@@ -173,10 +176,11 @@ def _count(threshold: float):
         if part["i"].iat[0] == part["j"].iat[0]:
             hit = x @ x.T >= threshold
             np.fill_diagonal(hit, False)
-            return pd.DataFrame({"node": nodes, "links": hit @ w})
+            return pd.DataFrame({"node": nodes, "links": hit @ w, "partners": hit.sum(axis=1)})
         one = (part["c"] == part["i"]).to_numpy()
         hit = x[one] @ x[~one].T >= threshold
-        return pd.DataFrame({"node": np.concatenate([nodes[one], nodes[~one]]), "links": np.concatenate([hit @ w[~one], w[one] @ hit])})
+        both = {"links": np.concatenate([hit @ w[~one], w[one] @ hit]), "partners": np.concatenate([hit.sum(axis=1), hit.sum(axis=0)])}
+        return pd.DataFrame({"node": np.concatenate([nodes[one], nodes[~one]])} | both)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -193,17 +197,97 @@ def _count(threshold: float):
 
 
 def count_links(nodes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """``node``, ``component`` and ``links``, for the nodes of ``found``: all links inside components."""
+    """``node``, ``component``, ``links`` (by weight) and ``partners`` (nodes), for the nodes of ``found``: all links inside components."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     rows = nodes.join(found, "node").join(sizes.repartition(parts), "component").withColumn("c", F.pmod(F.hash("node"), "parts"))
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))
     units = rows.select("component", "node", "vec", "weight", "c", F.explode(pair).alias("u")).select("component", "node", "vec", "weight", "c", "u.i", "u.j")
     units = units.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    counts = units.mapInPandas(_count(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    counts = units.mapInPandas(_count(threshold), "node long, links long, partners long").groupBy("node").agg(F.sum("links").alias("links"), F.sum("partners").alias("partners"))
     return stash(found.join(counts, "node"))
 
 
+def _each(keys: tuple[str, ...], unit):
+    """``unit`` over each run of equal keys of sorted rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            cuts = _runs(*(batch[c].to_numpy() for c in keys))
+            for a, b in zip(cuts[:-2], cuts[1:-1]):
+                yield from unit(batch.iloc[a:b])
+            rest = batch.iloc[cuts[-2] :]
+        if rest is not None and len(rest):
+            yield from unit(rest)
+
+    return run
+
+
+def _ball(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A block's centre and the largest angle to it."""
+    x = _unit(part["vec"].to_numpy())
+    mean = x.sum(axis=0)
+    centre = mean / np.linalg.norm(mean) if np.linalg.norm(mean) > 1e-9 else x[0]
+    radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max()) if len(x) > 1 else 0.0
+    yield pd.DataFrame({"component": part["component"].iat[0], "c": part["c"].iat[0], "dim": len(centre), "centre": [centre], "radius": radius})
+
+
+def _close(threshold: float):
+    """Blocks of two components that a link may join, from two tiles of centres."""
+
+    def unit(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        one, same = (part["tile"] == part["i"]).to_numpy(), part["i"].iat[0] == part["j"].iat[0]
+        p, q = part[one], part if same else part[~one]
+        if len(p) and len(q):
+            y, far = np.stack(q["centre"].to_numpy()), q["radius"].to_numpy() + np.arccos(threshold) + 1e-6
+            other = q["component"].to_numpy()
+            for at in range(0, len(p), BLOCK):
+                some = p.iloc[at : at + BLOCK]
+                mine = some["component"].to_numpy()[:, None]
+                near = np.stack(some["centre"].to_numpy()) @ y.T >= np.cos(np.minimum(some["radius"].to_numpy()[:, None] + far, np.pi)) - 1e-9
+                m, n = np.nonzero(near & ((mine < other) if same else (mine != other)))
+                ends = {"component": (some, m), "c": (some, m), "component2": (q, n), "c2": (q, n)}
+                yield pd.DataFrame({name: frame[name.rstrip("2")].to_numpy()[rows] for name, (frame, rows) in ends.items()})
+
+    return unit
+
+
+def _one_link(threshold: float):
+    def unit(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        x, one = _unit(part["vec"].to_numpy()), (part["side"] == 0).to_numpy()
+        if (x[one] @ x[~one].T).max(initial=-2.0) >= threshold:
+            yield part[["component", "component2"]].head(1)
+
+    return unit
+
+
+def merge(nodes: DataFrame, found: DataFrame, threshold: float, only: DataFrame | None = None) -> DataFrame:
+    """``found`` (node, component) after an exact search for links between its components, or between those of ``only``."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    searched = found if only is None else found.join(only, "component", "left_semi")
+    sizes = searched.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    rows = nodes.select("node", "vec").join(searched, "node").join(sizes.repartition(parts), "component").withColumn("c", F.pmod(F.hash("node"), "parts"))
+    rows = stash(rows.select("component", "c", "vec"))
+    sorted_rows = rows.repartition(parts, "component", "c").sortWithinPartitions("component", "c")
+    balls = stash(sorted_rows.mapInPandas(_each(("component", "c"), _ball), "component long, c int, dim int, centre array<double>, radius double"))
+    tiles = max(1, ceil(balls.count() / TILE))
+    pair = F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j")))
+    dealt = balls.withColumn("tile", F.pmod(F.hash("component", "c"), F.lit(tiles))).withColumn("u", F.explode(pair)).select("*", "u.i", "u.j").drop("u")
+    dealt = dealt.repartition(parts, "dim", "i", "j").sortWithinPartitions("dim", "i", "j")
+    met = stash(dealt.mapInPandas(_each(("dim", "i", "j"), _close(threshold)), "component long, c int, component2 long, c2 int"))
+    far = rows.withColumnsRenamed({"component": "component2", "c": "c2"})
+    both = rows.join(met, ["component", "c"]).withColumn("side", F.lit(0)).unionByName(far.join(met, ["component2", "c2"]).withColumn("side", F.lit(1)))
+    unit = ["component", "c", "component2", "c2"]
+    both = both.repartition(parts, *unit).sortWithinPartitions(*unit)
+    joined = components(both.mapInPandas(_each(tuple(unit), _one_link(threshold)), "component long, component2 long"), "component", "component2")
+    joined = stash(joined.select(F.col("node").alias("component"), F.col("component").alias("into")))
+    out = stash(found.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
+    discard(rows, balls, met, joined)
+    return out
+
+
 def audit(nodes: DataFrame, links: DataFrame, n: int, threshold: float) -> float:
     """Share of the true links of at most about ``QUERIES`` nodes that were found."""
     draw = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 20)) < ceil((1 << 20) * min(1.0, QUERIES / max(1, n)))
@@ -245,7 +329,10 @@ def near_groups(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding",
             graph = better
             if changed <= STILL * k * n:
                 break
-        links = count_links(slim, components(graph.filter(F.col("sim") >= threshold)), threshold)
+        found = stash(components(graph.filter(F.col("sim") >= threshold)))
+        full = graph.groupBy(F.col("a").alias("node")).agg(F.count_if(F.col("sim") >= threshold).alias("n")).filter(F.col("n") >= k)
+        found = merge(slim, found, threshold, stash(found.join(full, "node").select("component").distinct()))
+        links = count_links(slim, found, threshold)
         if audit(slim, links, n, threshold) >= RECALL:
             break
     named = nodes.join(links, "node", "left").select(

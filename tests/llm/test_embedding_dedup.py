@@ -74,3 +74,26 @@ def test_audit_sees_what_is_missing(spark):
     nodes = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors)], "node long, vec array<double>, weight long")
     half = spark.createDataFrame([(i, 0, 19 if i % 2 else 0) for i in range(20)], "node long, component long, links long")
     assert e.audit(nodes, half, 20, 0.95) == 0.5
+
+
+def blobs(sizes, dim=64, across=0.965, within=0.995):
+    """Two dense groups whose vectors link across, but have more than K nearer ones in their own."""
+    rng = np.random.default_rng(7)
+    axes = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+    turn = np.arccos(across) / 2
+    out = []
+    for side, size in zip((1, -1), sizes):
+        centre = np.cos(turn) * axes[0] + side * np.sin(turn) * axes[1]
+        for _ in range(size):
+            away = axes[2:].T @ rng.standard_normal(dim - 2)
+            out.append(centre + away / np.linalg.norm(away) * np.sqrt(1 - within))
+    return [list(map(float, v)) for v in out]
+
+
+@pytest.mark.parametrize("sizes", [(12, 12), (40, 25)])
+def test_dense_groups_that_link_across(spark, rows, monkeypatch, sizes):
+    monkeypatch.setattr(e, "BLOCK", 16)
+    monkeypatch.setattr(e, "TILE", 2)
+    vectors = blobs(sizes)
+    got = rows(e.near_groups(frame(spark, vectors)))
+    assert got == brute(vectors) and got[0][1] >= sizes[0] - 1 + sizes[1] // 2 and sum(r[3] for r in got) == 1
