@@ -4,15 +4,16 @@ Equal vectors become one node with a weight.  A first neighbour graph comes from
 random hyperplanes: for each of ``TREES`` sets, vectors are sorted by the code of
 their signs (and one more projection) and every run of ``LEAF`` vectors is compared
 in itself.  NN-descent rounds then compare, around each node, its neighbours and
-those whose neighbour it is with each other, and keep each node's ``K`` best, until
-hardly a list changes.  Links are the pairs with a cosine of
+those whose neighbour it is with each other, and keep each node's ``K`` best, until a
+round finds no new link and hardly changes a list.  Links are the pairs with a cosine of
 at least ``threshold`` (double precision); they connect components
 (:mod:`quillon.llm.components`).  A list whose ``K`` entries are all links is saturated:
 there may be more.  Components that hold one are searched against each other exactly
 (:func:`merge`), and within a component lists are enlarged to all its members, compared
 exactly, block by block, so that ``n_links`` counts every link, however dense.  An audit
 compares a bounded set of queries with all vectors; while its recall is below ``RECALL``,
-another set of hyperplanes and further rounds follow.
+another set of hyperplanes and further rounds follow, and if that does not help, all
+components, single vectors too, are searched against each other exactly.
 
 Scale.  The tables that shuffle are slim lists and copies of vectors, ``2 K`` to a node
 and round.  Runs are cut by range partitioning, so a code that a third of all vectors
@@ -20,7 +21,8 @@ share is spread over tasks.  Reverse lists take the ``K`` first by a hash (NN-de
 sampling); what that misses the exact pass over components finds.  In a component
 blocks of ``BLOCK`` meet in pairs; counts leave a block, not pairs.  Between components
 two blocks meet only where the angle of their centres, less their radii, allows a link
-(tested for tiles of ``TILE`` centres), and one link of two blocks leaves.
+(tested for tiles of ``TILE`` centres), and one link of two blocks leaves.  The exact search
+of all components grows with the square of their number.
 
 Cases.  A vector that is null, empty or zero, or holds a null or non-finite component,
 links with nothing, and so does one whose id is null; these count 0 links, are a
@@ -43,8 +45,8 @@ from pyspark.sql import functions as F
 from quillon.llm.components import components
 from quillon.storage import discard, stash
 
-THRESHOLD, K, TREES, LEAF, BLOCK, TILE, ROUNDS = 0.95, 10, 4, 256, 256, 4096, 4
-#: Changed entries, as a share of all, at which descent stops; recall wanted; most queries of the audit; most repeats.
+THRESHOLD, K, TREES, LEAF, BLOCK, TILE = 0.95, 10, 4, 256, 256, 4096
+#: Changed entries, as a share of all, at which descent may stop; recall wanted; most queries of the audit; most repeats.
 STILL, RECALL, QUERIES, REPEATS = 0.005, 0.98, 500, 3
 
 
@@ -289,7 +291,10 @@ def merge(nodes: DataFrame, found: DataFrame, threshold: float, only: DataFrame
 
 
 def audit(nodes: DataFrame, links: DataFrame, n: int, threshold: float) -> float:
-    """Share of the true links of at most about ``QUERIES`` nodes that were found."""
+    """Share of a node's true partners that ``links`` (node, links) counts, for at most about ``QUERIES`` nodes.
+
+    Equal vectors count once.  The lesser of two means over queries: those with fewer than ``K`` partners, and the others.
+    """
     draw = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 20)) < ceil((1 << 20) * min(1.0, QUERIES / max(1, n)))
     asked = [(r["node"], r["vec"]) for r in nodes.filter(draw).select("node", "vec").limit(2 * QUERIES).collect()]
 
@@ -301,13 +306,13 @@ def audit(nodes: DataFrame, links: DataFrame, n: int, threshold: float) -> float
                 if mine:
                     hit = _unit([v for _, v in mine]) @ _unit(some["vec"].to_numpy()).T >= threshold
                     hit &= np.array([node for node, _ in mine])[:, None] != some["node"].to_numpy()
-                    for (node, _), k in zip(mine, hit @ some["weight"].to_numpy()):
+                    for (node, _), k in zip(mine, hit.sum(axis=1)):
                         total[node] += int(k)
         yield pd.DataFrame([(k, v) for k, v in total.items() if v], columns=["node", "truth"], dtype="int64")
 
     true = nodes.mapInPandas(compare, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
-    row = true.join(links, "node", "left").agg(F.sum("truth").alias("t"), F.sum(F.coalesce("links", F.lit(0))).alias("f")).first()
-    return row["f"] / row["t"] if row["t"] else 1.0
+    share = true.join(links, "node", "left").groupBy(F.col("truth") < K).agg(F.avg(F.coalesce("links", F.lit(0)) / F.col("truth")).alias("share"))
+    return min((r["share"] for r in share.collect()), default=1.0)
 
 
 def near_groups(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding", threshold: float = THRESHOLD, k: int = K) -> DataFrame:
@@ -317,24 +322,27 @@ def near_groups(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding",
     nodes = stash(classes)
     n = nodes.count()
     slim = nodes.select("node", "vec", "weight")
-    graph, links = None, None
+    graph = None
     for again in range(REPEATS):
         seeds = list(range(again * TREES, (again + 1) * TREES))
         fresh = seed_graph(slim, n, seeds, k)
         graph = stash(_top(fresh if graph is None else fresh.unionByName(graph), k))
-        for _ in range(ROUNDS):
+        while True:
             better = stash(_top(descend(graph, slim, k).unionByName(graph), k))
-            changed = better.join(graph, ["a", "b"], "left_anti").count()
+            new = better.join(graph, ["a", "b"], "left_anti").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("sim") >= threshold).alias("links")).first()
             discard(graph)
             graph = better
-            if changed <= STILL * k * n:
+            if not new["links"] and new["all"] <= STILL * k * n:
                 break
         found = stash(components(graph.filter(F.col("sim") >= threshold)))
         full = graph.groupBy(F.col("a").alias("node")).agg(F.count_if(F.col("sim") >= threshold).alias("n")).filter(F.col("n") >= k)
         found = merge(slim, found, threshold, stash(found.join(full, "node").select("component").distinct()))
         links = count_links(slim, found, threshold)
-        if audit(slim, links, n, threshold) >= RECALL:
+        if audit(slim, links.select("node", F.col("partners").alias("links")), n, threshold) >= RECALL:
             break
+    else:
+        alone = slim.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
+        links = count_links(slim, merge(slim, found.unionByName(alone), threshold), threshold)
     named = nodes.join(links, "node", "left").select(
         F.col("vec").alias("key"),
         F.coalesce("component", "node").alias("component"),

@@ -97,3 +97,19 @@ def test_dense_groups_that_link_across(spark, rows, monkeypatch, sizes):
     vectors = blobs(sizes)
     got = rows(e.near_groups(frame(spark, vectors)))
     assert got == brute(vectors) and got[0][1] >= sizes[0] - 1 + sizes[1] // 2 and sum(r[3] for r in got) == 1
+
+
+def test_exact_search_when_the_audit_fails(spark, rows, monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs = rng.standard_normal((60, 16))
+    vectors = [list(map(float, v)) for v in np.concatenate([pairs, pairs + 0.02 * rng.standard_normal((60, 16))])]
+    monkeypatch.setattr(e, "seed_graph", lambda nodes, n, seeds, k: nodes.sparkSession.createDataFrame([(0, 1, 0.0)], "a long, b long, sim double"))
+    assert rows(e.near_groups(frame(spark, vectors))) == brute(vectors)
+
+
+def test_audit_does_not_drown_pairs_in_a_large_group(spark):
+    group = [[1.0, 0.0001 * i, 0.0] for i in range(90)]
+    pair = [[0.0, 0.001 * i, 1.0] for i in range(2)]
+    nodes = spark.createDataFrame([(i, v, 1) for i, v in enumerate(group + pair)], "node long, vec array<double>, weight long")
+    links = spark.createDataFrame([(i, 0, 89) for i in range(90)], "node long, component long, links long")
+    assert e.audit(nodes, links, 92, 0.95) == 0.0
