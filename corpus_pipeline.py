@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, language_id, mixing, packing, simhash
+from quillon.llm import exact_dedup, language_id, mixing, packing, shingle_dedup
 from quillon.llm.queries import tokenizer_path
 from quillon.storage import stash
 
@@ -25,8 +25,8 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of SimHash links the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each component of links (similarity of five-word shingles at least 0.8) the smallest doc_id stays."""
+    return shingle_dedup.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,102 @@
+"""Near-deduplication by the Jaccard similarity of word shingles.
+
+Documents link where their sets of ``WORDS``-word shingles have a similarity of at least
+0.8; of each component of links the smallest id stays.  Equal sets are one node.
+Candidates agree on one of ``BANDS`` keys of ``ROWS`` minima each (a pair at 0.8 is missed
+with a chance of about one in seven million); each is confirmed by its exact similarity.
+In a bucket first one node meets all others, then the members of what are still different
+components meet, so that pairs inside a group of like documents are not written out.  A
+bucket whose members do not link costs the square of its size.
+
+Cases.  Texts without words are equal; a text of fewer words is one shingle.  Documents
+without an id stay.  An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillon.llm.components import components
+from quillon.llm.workers import small_batches
+from quillon.storage import stash
+
+SEED, WORDS, BANDS, ROWS, PIECE = 42, 5, 40, 5, 2048
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted hashes of the set of shingles (A-Z lower-cased, split at ASCII white space)."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(parts) - words + 1) if parts else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), SEED) for i in range(n)], dtype=np.uint64))
+
+
+def _whole(some: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(some.tobytes(), SEED)
+
+
+def keys(some: np.ndarray) -> np.ndarray:
+    """A key for each band, as signed longs."""
+    draw = np.random.default_rng(SEED)
+    a, b = draw.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(some), PIECE):
+        least = np.minimum(least, (some[at : at + PIECE, None] * (a | np.uint64(1)) + b).min(axis=0))
+    key = np.zeros(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
+    return key.view(np.int64)
+
+
+def _links(docs: DataFrame, marked: DataFrame, pairs: DataFrame, id: str, text: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough."""
+
+    @F.pandas_udf("node long, shingles array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t) for t in texts]
+        return pd.DataFrame({"node": np.array([_whole(s) for s in sets], dtype=np.uint64).view(np.int64), "shingles": [s.view(np.int64) for s in sets]})
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = marked.join(ends, "node").groupBy("node").agg(F.min("id").alias("__id")).select("__id").distinct()
+    sets = docs.join(ids, docs[id] == F.col("__id")).select(of(F.col(text)).alias("s")).select("s.*").dropDuplicates(["node"])
+    sets = stash(sets)
+    one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    met = pairs.join(one, "a").join(two, "b").withColumn("both", both)
+    return stash(met.filter(5 * F.col("both") >= 4 * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b"))
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document with the smallest id of each component, with all its columns; documents without an id stay."""
+    small_batches(docs.sparkSession)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    @F.pandas_udf("node long, keys array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t) for t in texts]
+        return pd.DataFrame({"node": np.array([_whole(s) for s in sets], dtype=np.uint64).view(np.int64), "keys": [keys(s) for s in sets]})
+
+    marked = stash(docs.filter(F.col(id).isNotNull()).select(F.col(id).alias("id"), of(F.col(text)).alias("s")).select("id", "s.*"))
+    nodes = marked.select("node", "keys").dropDuplicates(["node"])
+    filed = stash(nodes.select("node", F.posexplode("keys").alias("band", "key")))
+    sizes = filed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    met = stash(filed.join(sizes.repartition(n), ["band", "key"]).select("band", "key", "node", "hub"))
+    stars = stash(met.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    links = _links(docs, marked, stars, id, text)
+    found = stash(components(links))
+    member = met.join(found, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("component"))
+    member = stash(member)
+    kinds = member.select("band", "key", "component").distinct()
+    apart = kinds.join(kinds.withColumnRenamed("component", "other"), ["band", "key"]).filter("component < other")
+    left = member.withColumnRenamed("node", "x")
+    right = member.select("band", "key", F.col("node").alias("y"), F.col("component").alias("other"))
+    cross = apart.join(left, ["band", "key", "component"]).join(right, ["band", "key", "other"])
+    cross = stash(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
+    found = components(links.unionByName(_links(docs, marked, cross, id, text)))
+    named = stash(marked.select("id", "node").join(found, "node", "left").select("id", F.coalesce("component", "node").alias("component")))
+    least = named.groupBy("component").agg(F.min("id").alias("least"))
+    gone = named.join(least, "component").filter("id != least").select(F.col("id").alias("__gone")).distinct()
+    return docs.join(stash(gone), docs[id] == F.col("__gone"), "left_anti")
