@@ -90,7 +90,7 @@ def blobs(sizes, dim=64, across=0.965, within=0.995):
     return [list(map(float, v)) for v in out]
 
 
-@pytest.mark.parametrize("sizes", [(12, 12), (40, 25)])
+@pytest.mark.parametrize("sizes", [(12, 12), (40, 25), (90, 60)])
 def test_dense_groups_that_link_across(spark, rows, monkeypatch, sizes):
     monkeypatch.setattr(e, "BLOCK", 16)
     monkeypatch.setattr(e, "TILE", 2)
@@ -103,7 +103,7 @@ def test_exact_search_when_the_audit_fails(spark, rows, monkeypatch):
     rng = np.random.default_rng(3)
     pairs = rng.standard_normal((60, 16))
     vectors = [list(map(float, v)) for v in np.concatenate([pairs, pairs + 0.02 * rng.standard_normal((60, 16))])]
-    monkeypatch.setattr(e, "seed_graph", lambda nodes, n, seeds, k: nodes.sparkSession.createDataFrame([(0, 1, 0.0)], "a long, b long, sim double"))
+    monkeypatch.setattr(e, "seed_graph", lambda nodes, *_: nodes.sparkSession.createDataFrame([(0, 1, 0.0)], "a long, b long, sim double"))
     assert rows(e.near_groups(frame(spark, vectors))) == brute(vectors)
 
 
@@ -113,3 +113,19 @@ def test_audit_does_not_drown_pairs_in_a_large_group(spark):
     nodes = spark.createDataFrame([(i, v, 1) for i, v in enumerate(group + pair)], "node long, vec array<double>, weight long")
     links = spark.createDataFrame([(i, 0, 89) for i in range(90)], "node long, component long, links long")
     assert e.audit(nodes, links, 92, 0.95) == 0.0
+
+
+def test_bundles_among_others_and_small_memory(spark, rows, monkeypatch):
+    monkeypatch.setattr(e, "BLOCK_BYTES", 64 * 8 * 7)  # blocks of seven vectors
+    monkeypatch.setattr(e, "STRIP", 3)
+    others = [list(map(float, v)) for v in np.random.default_rng(8).standard_normal((140, 64))]
+    vectors = blobs((30, 30)) + others
+    got = rows(e.near_groups(frame(spark, vectors)))
+    assert got == brute(vectors) and got[0][1] == 59
+
+
+def test_places_double_until_a_list_ends_without_a_link(spark, rows, monkeypatch):
+    """No exact search between components is needed where ``MOST`` places suffice."""
+    monkeypatch.setattr(e, "merge", lambda *a: pytest.fail("lists were long enough"))
+    vectors = blobs((14, 12)) + [list(map(float, v)) for v in np.random.default_rng(9).standard_normal((60, 64))]
+    assert rows(e.near_groups(frame(spark, vectors), k=4, most=32)) == brute(vectors)
