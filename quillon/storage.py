@@ -35,15 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, *by: str, to: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
+    With ``by`` the files are split by those columns, so that a filter on them reads
+    only its own; with ``to``, a frame that this function made, the rows are appended to it.
     The folder belongs to one application and is removed by :func:`discard`, or
     with the shared folder itself.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = to._stash_path if to is not None else f"{shared_dir(spark)}/stash/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.mode("append").partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
