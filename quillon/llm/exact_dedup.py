@@ -8,11 +8,15 @@ of their normalised text, and are grouped exactly.
 
 Scale.  One filter is broadcast at a time, and its size is set, not found: rows
 are dealt into as many hash slices as it takes to keep one slice's filter under
-``FILTER_BITS``.  Rows that shuffle carry a hash, a length and an id, not their
-text, unless the caller asks for whole documents back.  Groups are reduced with
-map-side combining, and the join that hands the answer back to a group's rows
-has the reduced table materialised on its other side, so that adaptive execution
-can split a hot group.
+``FILTER_BITS``.  All filters are built by one pass over a slim table, which shuffles
+three cells of 16 bytes for a row, combined on the map side, and no text.  With more
+than one slice the looked-up table is first written split by slice, and each slice is
+then read alone, so that texts are read once for the hashes and, where documents are
+wanted back, once more to be written by slice.  Rows that shuffle after the look-up carry
+a hash, a length and an id, not their text, unless the caller asks for whole documents
+back.  Groups are reduced with map-side combining, and the join that hands the answer back
+to a group's rows has the reduced table materialised on its other side, so that adaptive
+execution can split a hot group.
 
 Cases.  A null text counts as empty, and empty texts are equal to each other.
 A null id loses against any other id and is reported as null.  Rows that repeat
@@ -60,24 +64,27 @@ def _cell(blocks: int) -> tuple[Column, list[Column]]:
     ]
 
 
-def repeat_filter(keyed: DataFrame, blocks: int) -> DataFrame:
-    """Pass 1: one row for each block, with the cells that two rows or more have hit.
+def _slice(slices: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("__dd_h"), F.lit(0)), F.lit(slices)).cast("int")
 
-    At most ``blocks`` rows of 32 words each.
+
+def repeat_filter(keyed: DataFrame, blocks: int, slices: int = 1) -> DataFrame:
+    """Pass 1: one row for each slice and block, with the cells that two rows or more have hit.
+
+    At most ``blocks`` rows of 32 words each for a slice.
     """
     block, bits = _cell(blocks)
+    by = ["__dd_slice", "__dd_block"]
     hits = (
-        keyed.select(block.alias("__dd_block"), F.explode(F.array_distinct(F.array(*bits))).alias("bit"))
-        .groupBy("__dd_block", "bit")
+        keyed.select(_slice(slices).alias("__dd_slice"), block.alias("__dd_block"), F.explode(F.array_distinct(F.array(*bits))).alias("bit"))
+        .groupBy(*by, "bit")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
     )
-    words = hits.groupBy("__dd_block", F.shiftright("bit", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("bits")
-    )
-    found = words.groupBy("__dd_block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    words = hits.groupBy(*by, F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("bits"))
+    found = words.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)))
-    return found.select("__dd_block", dense.alias("__dd_words"))
+    return found.select(*by, dense.alias("__dd_words"))
 
 
 def suspects(keyed: DataFrame, cells: DataFrame, blocks: int) -> DataFrame:
@@ -102,26 +109,32 @@ class CopyIndex:
         n = self.slim.count()
         self.slices = max(1, ceil(n * BITS_PER_ROW / filter_bits))
         self.blocks = max(1, ceil(n * BITS_PER_ROW / BLOCK_BITS / self.slices))
-        self.filters = [stash(repeat_filter(self._part(self.slim, s), self.blocks)) for s in range(self.slices)]
+        self.cells = stash(repeat_filter(self.slim, self.blocks, self.slices), *["__dd_slice"] * (self.slices > 1))
+        self.told = self.marked(self.slim)
         first = F.min(F.struct(-F.col("__dd_len"), F.col(id).isNull(), F.col(id).alias("id")))
         self.groups = stash(
-            self.marked(self.slim)
-            .filter("__dd_seen")
+            self.told.filter("__dd_seen")
             .groupBy("__dd_sha")
             .agg(first.alias("f"), F.count(F.lit(1)).alias("__dd_size"))
             .filter("__dd_size > 1")
             .select("__dd_sha", F.col("f.id").alias("__dd_keep"), (-F.col("f.col1")).alias("__dd_klen"), "__dd_size")
         )
 
-    def _part(self, keyed: DataFrame, s: int) -> DataFrame:
-        return keyed if self.slices == 1 else keyed.filter(F.pmod(F.xxhash64("__dd_h", F.lit(0)), F.lit(self.slices)) == s)
-
     def marked(self, keyed: DataFrame) -> DataFrame:
-        return reduce(DataFrame.unionByName, [suspects(self._part(keyed, s), f, self.blocks) for s, f in enumerate(self.filters)])
-
-    def resolve(self, keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``keyed`` with ``__dd_seen``; slice by slice, one filter broadcast at a time, where there are several."""
+        if self.slices == 1:
+            return suspects(keyed, self.cells.drop("__dd_slice"), self.blocks)
+        salted = keyed.withColumn("__dd_slice", _slice(self.slices)).withColumn("__dd_salt", F.spark_partition_id() % 64)  # a hot slice takes many tasks
+        by_slice = stash(salted.repartition("__dd_slice", "__dd_salt").drop("__dd_salt"), "__dd_slice")
+        done = None
+        for s in range(self.slices):
+            own = lambda df: df.filter(F.col("__dd_slice") == s).drop("__dd_slice")  # noqa: B023, E731
+            done = stash(suspects(own(by_slice), own(self.cells), self.blocks), to=done)
+        discard(by_slice)
+        return done
+
+    def resolve(self, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows that pass straight through, and the shuffled rest; both with the answer's columns."""
-        marked = self.marked(keyed)
         own = F.col(self.id)
         alone = marked.filter(~F.col("__dd_seen")).withColumns(
             {"__dd_keep": own, "__dd_klen": F.col("__dd_len"), "__dd_size": F.lit(1).cast("long")}
@@ -141,7 +154,7 @@ class CopyIndex:
 def copy_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept and text_sha256."""
     index = CopyIndex(docs, id, text, filter_bits)
-    alone, met = index.resolve(index.slim)
+    alone, met = index.resolve(index.told)
     return alone.unionByName(met).select(
         id,
         F.col("__dd_keep").alias("keep_id"),
@@ -154,7 +167,7 @@ def copy_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", filter_
 def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
     """The documents that stay, with all their columns; unsuspected rows are not shuffled."""
     index = CopyIndex(docs, id, text, filter_bits)
-    alone, met = index.resolve(keys(docs, text))
-    met = met.filter("__dd_kept").dropDuplicates([id, "__dd_sha"])
     discard(index.slim)
+    alone, met = index.resolve(index.marked(keys(docs, text)))
+    met = met.filter("__dd_kept").dropDuplicates([id, "__dd_sha"])
     return alone.unionByName(met).select(*[F.col(f"`{c}`") for c in docs.columns])
