@@ -15,7 +15,9 @@ only where the template wrote it; reading removes one again.  In a role ``%``,
 
 Scale.  All is a projection over records: no shuffle beyond the grouping that
 makes records of rows, whose key is the conversation.  A conversation is one
-value and has to fit in memory, as its digest runs over all of it.
+value and has to fit in memory, as its digest runs over all of it.  Positions are
+running sums by doubling steps, and reading cuts the text once at its end marks, so work
+grows with a conversation's turns times their logarithm.
 
 Cases.  A null text or role is empty.  Rows of a conversation are ordered by turn
 (null first), then role and text; repeated rows are repeated turns.  A null
@@ -33,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.functions.similarity import let
+
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
 ROLES = {"human": "user", "gpt": "assistant", "model": "assistant", "bot": "assistant"}
@@ -138,29 +142,37 @@ def unescape_role(role: Column) -> Column:
     return role
 
 
+def running_sums(sizes: Column) -> Column:
+    """For each entry of an array of longs, the sum of the entries before it."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(sizes), F.lit(2)))).cast("int"))
+
+    def double(sums: Column, step: Column) -> Column:
+        far = F.pow(F.lit(2), step).cast("int")
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - far), F.lit(0).cast("long")))
+
+    shifted = lambda xs: F.transform(xs, lambda x, i: F.coalesce(F.get(xs, i - 1), F.lit(0).cast("long")))
+    return F.aggregate(rounds, let(sizes, shifted), double)
+
+
 def write_template(records: DataFrame, learn: str = "assistant") -> DataFrame:
-    """Add ``formatted`` and ``loss_mask``: spans (start, length) of the texts of role ``learn``."""
+    """Add ``formatted`` and ``loss_mask``: spans (turn, start, length) of the texts of role ``learn``.
+
+    ``start`` and ``length`` are characters of ``formatted``; ``turn`` is the place of the turn.
+    """
     head = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
     pieces = F.transform(
         F.col("turns"), lambda t: F.struct(head(t).alias("head"), escape_text(t["text"]).alias("body"), (t["role"] == learn).alias("learn"))
     )
-    whole = F.array_join(F.transform(F.col("__pieces"), lambda p: F.concat(p["head"], p["body"], F.lit(f"{END}\n"))), "")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["head"])
-        span = F.struct(start.cast("long").alias("start"), F.length(p["body"]).cast("long").alias("length"))
-        return F.struct(
-            (start + F.length(p["body"]) + len(END) + 1).cast("long").alias("at"),
-            F.when(p["learn"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-        )
+    whole = lambda ps: F.array_join(F.transform(ps, lambda p: F.concat(p["head"], p["body"], F.lit(f"{END}\n"))), "")
+    sizes = lambda ps: F.transform(ps, lambda p: (F.length(p["head"]) + F.length(p["body"]) + len(END) + 1).cast("long"))
 
-    return (
-        records.withColumn("__pieces", pieces)
-        .withColumn("formatted", whole)
-        .withColumn("loss_mask", F.aggregate("__pieces", zero, step, lambda acc: acc["spans"]))
-        .drop("__pieces")
-    )
+    def span(p: Column, i: Column, starts: Column) -> Column:
+        start = F.get(starts, i) + F.length(p["head"])
+        return F.when(p["learn"], F.struct(i.alias("turn"), start.alias("start"), F.length(p["body"]).cast("long").alias("length")))
+
+    # positions are bound once: as a column of its own the optimizer would work them out again for every turn
+    mask = lambda ps: let(running_sums(sizes(ps)), lambda starts: F.array_compact(F.transform(ps, lambda p, i: span(p, i, starts))))
+    return records.withColumns({"formatted": whole(pieces), "loss_mask": let(pieces, mask)})
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -175,10 +187,15 @@ def read_back(formatted: DataFrame) -> DataFrame:
             unescape_text(F.substr(x, F.length(role(x)) + len(START) + 2)).alias("text"),
         ),
     )
-    learned = F.transform(
-        "loss_mask", lambda s: unescape_text(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))
-    )
-    return formatted.withColumn("read_turns", turns).withColumn("read_loss", F.array_join(learned, ""))
+    sizes = lambda cs: F.transform(cs, lambda x: (F.length(x) + len(END) + 1).cast("long"))
+
+    def learned(s: Column, cs: Column, begins: Column) -> Column:
+        at = (s["start"] - F.get(begins, s["turn"]) + 1).cast("int")
+        return unescape_text(F.substr(F.get(cs, s["turn"]), at, s["length"].cast("int")))
+
+    spans = lambda mask, cs: let(running_sums(sizes(cs)), lambda begins: F.transform(mask, lambda s: learned(s, cs, begins)))
+    loss = let(F.struct(cut.alias("cut"), F.col("loss_mask").alias("mask")), lambda x: F.array_join(spans(x["mask"], x["cut"]), ""))
+    return formatted.withColumns({"read_turns": turns, "read_loss": loss})
 
 
 def conversations_as_records(rows: DataFrame, id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -43,7 +43,7 @@ def test_clashing_names(spark):
 
 
 def test_cascade_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "BITS_PER_KEY", 2)  # so that levels err
+    monkeypatch.setattr(url_filter, "_shape", lambda n, against: (1, 64 * (n // 32 + 1)))  # so that levels err
     keys = [f"k{i}" for i in range(3000)]
     listed = set(random.Random(1).sample(keys, 400))
     frame = lambda ks: spark.createDataFrame([(k,) for k in ks], "key string")
@@ -52,6 +52,29 @@ def test_cascade_is_exact(spark, monkeypatch):
     assert {r.key for r in frame(keys).filter(cascade.holds(F.col("key"))).collect()} == listed
 
 
+def test_sizes_follow_the_list_not_the_corpus():
+    few, many = (url_filter._shape(3, n)[1] for n in (2_000_000, 20_000_000_000))
+    assert many <= 3 * few <= 600 and url_filter._shape(300_000, 20_000_000)[1] < 300_000 * 12
+
+
+def long_list(n):
+    return [url_filter.Rule("block" if i % 3 else "allow", f"h{i}.com", "/a/" if i % 2 else "") for i in range(n)]
+
+
+@pytest.mark.parametrize("bits", [url_filter.LEVEL_BITS, 64])  # by cascade, and by join
+def test_long_lists(spark, monkeypatch, bits):
+    monkeypatch.setattr(url_filter, "LEVEL_BITS", bits)
+    rules = long_list(20_000)
+    by_key = {(r.host, r.path): r.verdict for r in rules}
+    urls = [f"https://w.h{i}.com/{'a/' if i % 3 else ''}x" for i in range(0, 40_000, 7)] + [None, "x"]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        host, path = r.host.removeprefix("w."), r.path[:3]
+        want = next((k for k in ((host, path), (host, "")) if k in by_key), None)
+        assert (r.rule, r.verdict) == (("".join(want), by_key[want]) if want else (None, "allow"))
+
+
 def test_bad_rules(spark):
     df = spark.createDataFrame([("http://a",)], "url string")
     for rules in ([url_filter.Rule("block", "a", "/"), url_filter.Rule("allow", "a", "/")], [url_filter.Rule("maybe", "a", "/")]):
@@ -120,3 +143,14 @@ def test_mask_covers_what_is_learned(spark):
     rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "<|a"), (1, 2, "user", "z"), (1, 3, "assistant", "b")], "conv_id long, turn long, role string, text string")
     r = chat.write_template(chat.canonical_turns(chat.conversations_as_records(rows), ["messages"])).first()
     assert [r.formatted[s.start : s.start + s.length] for s in r.loss_mask] == ["<\\|a", "b"]
+
+
+def test_running_sums(spark):
+    data = [(list(range(n)),) for n in (0, 1, 2, 3, 7, 8, 9, 100)]
+    for r in spark.createDataFrame(data, "x array<long>").withColumn("s", chat.running_sums(F.col("x"))).collect():
+        assert r.s == [sum(r.x[:i]) for i in range(len(r.x))]
+
+
+def test_a_long_conversation(spark):
+    turns = [("assistant" if i % 2 else "user", f"turn <|{i}|> é") for i in range(3000)]
+    assert digest(spark, [(0, i, r, t) for i, (r, t) in enumerate(turns)]) == {0: told(turns)}
