@@ -11,9 +11,11 @@ Scale.  Training reads at most about ``rows_per_language`` documents of each
 language (a documented bound, drawn by a hash of the text) and brings a table of
 at most ``GRAMS`` counts per language to the driver; that model, of proven size, is
 shipped to the workers.  Prediction is one pass over whole texts without a shuffle.
-The Viterbi pass runs over many documents at once, in arrays of bounded size.
+The Viterbi pass runs over many documents at once, in arrays of bounded size; a text too
+long for one goes through in parts and keeps, of each word, a bit for each language.
 
-Cases.  A text that is null or has no letters is ``und`` with score 0 and no spans.
+Cases.  A text that is null or has no letters is ``und`` with score 0 and no spans; numerals
+such as superscripts are no letters, but a word may hold them.  Up to 32,767 languages.
 Letters in a script that no language was seen in leave all languages as candidates.
 Ties go to the first language by code point.  Labels that are null are not learned
 from; with no labelled text at all every text is ``und``.  Repeated rows get equal
@@ -23,6 +25,8 @@ answers.  An empty table gives an empty result.  Other columns are kept.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -40,7 +44,22 @@ from quillon.llm.workers import release, small_batches
 GRAMS, SWITCH, SCRIPT_SHARE, MEMORY = 1 << 15, 8.0, 0.01, 200_000
 #: Words times languages in one Viterbi array.
 CELLS = 2_000_000
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _marks() -> str:
+    """The combining marks (vowel signs and the like) as ranges of a character class."""
+    runs: list[list[int]] = []
+    for code in range(0x300, sys.maxunicode + 1):
+        if unicodedata.category(chr(code)) in ("Mn", "Mc"):
+            if runs and runs[-1][1] == code - 1:
+                runs[-1][1] = code
+            else:
+                runs.append([code, code])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in runs)
+
+
+#: A letter (or numeral that is no digit) and what follows without a gap: more of them, and marks on them.
+WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_marks()}])*")
 
 # First code points of runs of one script, and the script.
 SCRIPTS = (
@@ -154,9 +173,37 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_
     return Model(langs, logp, {s: v for s, v in scripts.items() if (v == 0).any()})
 
 
+def viterbi_long(ids: np.ndarray, table: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """The best labels of one document, words given as rows of ``table``; scores are looked up part by part."""
+    width, n = table.shape[1], len(ids)
+    some = max(1, CELLS // width)
+    best, stays = np.zeros(n, dtype=np.int16), []
+    v = np.zeros(width, dtype=np.float32)
+    for at in range(0, n, some):
+        s = table[ids[at : at + some]]
+        stay = np.ones(s.shape, dtype=bool)
+        for t in range(len(s)):
+            if at + t:
+                top = v.max() - np.float32(switch)
+                np.greater_equal(v, top, out=stay[t])
+                v = np.maximum(v, top)
+            v = v + s[t]
+            best[at + t] = v.argmax()
+            if not t % 1024:
+                v = v - v.max()  # only differences count; sums of single precision stay small
+        stays.append(np.packbits(stay, axis=1))
+    label = best.copy()
+    for at in range((n - 1) // some * some, -1, -some):
+        stay = np.unpackbits(stays.pop(), axis=1, count=width)
+        for t in range(len(stay) - 1, -1, -1):
+            if at + t:
+                label[at + t - 1] = label[at + t] if stay[t, label[at + t]] else best[at + t - 1]
+    return label
+
+
 def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
     """The best label of each word of each document; documents are padded in blocks of like length."""
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(scores)
+    out: list[np.ndarray] = [np.zeros(0, dtype=np.int16)] * len(scores)
     order = sorted((i for i, s in enumerate(scores) if len(s)), key=lambda i: len(scores[i]))
     at = 0
     while at < len(order):
@@ -168,7 +215,7 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
         s = np.zeros((steps, n, width), dtype=np.float32)
         for k, i in enumerate(some):
             s[: len(scores[i]), k] = scores[i]
-        best, stay = np.zeros((steps, n), dtype=np.int8), np.ones((steps, n, width), dtype=bool)
+        best, stay = np.zeros((steps, n), dtype=np.int16), np.ones((steps, n, width), dtype=bool)
         v = s[0].copy()
         best[0] = v.argmax(axis=1)
         for t in range(1, steps):
@@ -177,7 +224,7 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
             v = np.maximum(v, top)
             v += s[t]
             best[t] = v.argmax(axis=1)
-        label = np.zeros((steps, n), dtype=np.int8)
+        label = np.zeros((steps, n), dtype=np.int16)
         cols = np.arange(n)
         label[-1] = best[-1]
         for t in range(steps - 1, 0, -1):
@@ -209,7 +256,10 @@ class Labeller:
                 ids[w] = len(ids)
                 new.append(w)
         self.table = np.concatenate([self.table, self.model.score(new)])
-        return viterbi([self.table[[ids[w] for w in doc]] if doc else self.table[:0] for doc in words])
+        rows = [np.fromiter(map(ids.__getitem__, doc), dtype=np.int64, count=len(doc)) for doc in words]
+        long = [len(r) * self.table.shape[1] > CELLS for r in rows]
+        short = iter(viterbi([self.table[r] for r, is_long in zip(rows, long) if not is_long]))
+        return [viterbi_long(r, self.table) if is_long else next(short) for r, is_long in zip(rows, long)]
 
 
 def _pieces(texts: pd.Series, chars: int = 2_000_000) -> Iterator[list[str]]:
@@ -240,7 +290,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for some in _pieces(batch):
                 words = [WORD.findall(t.lower()) if m.langs else [] for t in some]
                 for doc, labels in zip(words, labeller(words) if m.langs else [None] * len(words)):
-                    if not any(map(str.isalpha, doc)):  # none, or numerals such as superscripts
+                    if not any(c.isalpha() for w in doc for c in w):  # none, or numerals such as superscripts
                         rows.append(("und", 0.0))
                         continue
                     letters = np.bincount(labels, weights=np.fromiter(map(len, doc), dtype=np.float64, count=len(doc)), minlength=len(m.langs))

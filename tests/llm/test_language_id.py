@@ -72,3 +72,35 @@ def test_filter_keeps_clean_documents(spark, labelled):
     odd = spark.createDataFrame([(2000, "1234", "aa"), (2001, None, "aa")], labelled.schema)
     kept = li.keep_known(labelled.union(odd).selectExpr("*", "'x' AS lang_pred", "5 AS score"))
     assert kept.count() == 300 and kept.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and kept.first().score == 5
+
+
+def test_letters_beside_numerals_and_vowel_signs(spark, labelled, rows):
+    odd = spark.createDataFrame([(3000, "x²", None), (3001, "m² n³", None), (3002, "² ½", None), (3003, "हिन्दी", None)], labelled.schema)
+    got = {r[0]: r[2] for r in rows(li.predict(labelled.union(odd)))}
+    assert got[3000] != "und" and got[3001] != "und" and got[3003] != "und" and got[3002] == "und"
+    assert li.WORD.findall("हिन्दी भाषा x² 12a_b") == ["हिन्दी", "भाषा", "x²", "a", "b"]
+
+
+def test_two_hundred_languages(spark, rows):
+    names = [f"l{i:03d}" for i in range(200)]
+    word = lambda i: "".join(chr(97 + (i // 26**k * 7 + k) % 26) for k in range(2)) + "qx" + chr(97 + i % 26) * 3
+    data = [(4 * i + k, " ".join([word(i)] * 8), names[i]) for i in range(200) for k in range(12)]
+    df = spark.createDataFrame([(i, t, n) for i, (_, t, n) in enumerate(data)], "doc_id long, text string, lang string")
+    want = {r.doc_id: r.lang for r in df.collect()}
+    got = {r[0]: r[2] for r in rows(li.predict(df))}
+    assert sum(got[i] == want[i] for i in want) > 0.95 * len(want) and len(set(got.values())) > 190
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=40), st.integers(0, 6), st.integers(1, 9))
+def test_long_texts_go_through_in_parts(doc, switch, cells):
+    table = np.random.default_rng(0).integers(-9, 0, (6, 3)).astype(np.float32)
+    ids, before = np.array(doc), li.CELLS
+    try:
+        li.CELLS = cells
+        got = li.viterbi_long(ids, table, switch)
+    finally:
+        li.CELLS = before
+    value = lambda p: sum(table[w, k] for w, k in zip(doc, p)) - switch * sum(a != b for a, b in zip(p, p[1:]))
+    (want,) = li.viterbi([table[ids]], switch)
+    assert value(got) == value(want)
