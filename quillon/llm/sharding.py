@@ -10,7 +10,7 @@ shards: it is a projection without a shuffle.
 Slots (positions inside a shard) come from bucketed prefix sums, see
 :mod:`quillon.llm.prefix`; a shard is never gathered in one task.  Equal rows
 are counted before they are numbered, so a row repeated a million times is one
-row until the last step.
+row until the last step, and there it is dealt out in runs of ``RUN`` to all tasks.
 
 Cases.  A null key is a key of its own.  A null text has no bytes, so its size
 is 1.  Repeated rows go to one shard and get slots of their own.  An empty table
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from quillon.llm.prefix import bucket, bucket_bits, offsets
 from quillon.storage import stash
 
+#: Slots of equal rows that one step writes out; longer runs are dealt to other tasks first.
+RUN = 1 << 16
 
 def rendezvous(key: Column, shards: int | Mapping[int, float]) -> Column:
     """The shard of ``key`` among ``shards``: a count of equal ones, or weights by number."""
@@ -61,9 +63,13 @@ def with_slots(rows: DataFrame, shard: str = "shard") -> DataFrame:
     run = W.partitionBy(shard, "__bucket").orderBy("__key", *facts).rowsBetween(W.unboundedPreceding, -1)
     placed = counted.join(offsets(counted, [shard], "__n"), [shard, "__bucket"])
     first = F.col("__before") + F.coalesce(F.sum("__n").over(run), F.lit(0))
-    return placed.withColumn("__first", first).select(
-        *names, F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("__n") - 1)).alias("slot")
-    )
+    placed = placed.withColumn("__first", first).select(*names, "__first", (F.col("__first") + F.col("__n") - 1).alias("__last"))
+    slots = F.explode(F.sequence("__first", "__last")).alias("slot")
+    few, many = placed.filter(F.col("__last") - F.col("__first") < RUN), placed.filter(F.col("__last") - F.col("__first") >= RUN)
+    cut = many.withColumn("__first", F.explode(F.sequence(F.col("__first"), F.col("__last"), F.lit(RUN))))
+    cut = cut.withColumn("__last", F.least(F.col("__last"), F.col("__first") + RUN - 1))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return few.select(*names, slots).unionByName(cut.repartition(parts, shard, "__first").select(*names, slots))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, id: str = "doc_id", text: str = "text") -> DataFrame:

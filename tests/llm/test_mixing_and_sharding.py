@@ -126,3 +126,33 @@ def test_sharding_nothing_and_hot_rows(spark):
     hot = spark.range(900).selectExpr("IF(id % 3 = 0, 1, id + 10) AS doc_id", "'x' AS text")
     got = sharding.shard_documents(hot).filter("doc_id = 1")
     assert got.count() == 300 and got.select("slot").distinct().count() == 300
+
+
+def test_rows_repeated_beyond_a_run_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    hot = spark.range(900).selectExpr("IF(id % 3 = 0, 1, id + 10) AS doc_id", "'x' AS text").repartition(3)
+    by = {}
+    for r in sharding.shard_documents(hot).collect():
+        by.setdefault(r.shard, []).append(r.slot)
+    assert sum(map(len, by.values())) == 900 and all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def brute_shards(rows, n):
+    """The draw in Python: XXH64 of the key (eight bytes), seeded by 42 and then by its hash with the shard."""
+    import math
+
+    import xxhash
+
+    def hash64(key, shard):
+        h = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        return xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), h)
+
+    return {key: max(range(n), key=lambda s: (-1 / math.log(((hash64(key, s) >> 12) + 0.5) / 2**52), s)) for key in rows}
+
+
+def test_draw_is_brute_force(spark):
+    keys = [*range(-50, 500), None, 2**62]
+    df = spark.createDataFrame([(k, "é" * 70_000 if k == 3 else f"t{k}") for k in keys], "doc_id long, text string")
+    got = sharding.shard_documents(df).collect()
+    assert {r.doc_id: r.shard for r in got} == brute_shards(keys, 8) and {r.doc_id: r.grown_shard for r in got} == brute_shards(keys, 9)
+    assert next(r["size"] for r in got if r.doc_id == 3) == 140_001
