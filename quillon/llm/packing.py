@@ -13,9 +13,11 @@ terms by, are counted over all tails of the corpus, not by shard.
 
 Scale.  Texts are read and tokenised once; full windows leave at once as a checksum,
 only tails (under one window each) are stored and shuffled, two bytes an id where the
-vocabulary allows.  Shards come from a range partitioning by hash and id, so a group
-of a million equal tails fills many shards; a shard beyond ``SHARD`` tails is packed in
-parts.  The driver sees one count for each entry of the vocabulary.
+vocabulary allows.  Tails are range partitioned by hash and id into as many partitions as the
+session shuffles into, sorted inside a partition, and cut into shards of ``SHARD`` tails there,
+so a group of a million equal tails fills many shards, and a task that runs again packs alike.
+The driver sees one count for each entry of the vocabulary, and a sample of keys whose size
+follows the number of partitions, not the corpus.
 
 Cases.  A null text is an empty one: the end mark alone.  A null id is kept as null.
 Repeated rows are packed as documents of their own.  Strings like ``<|endoftext|>``
@@ -26,7 +28,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from math import ceil
 from zlib import crc32
 
 import numpy as np
@@ -267,7 +268,9 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
     for term, df in counts.items():
         idf[term] = np.log1p((n - df + 0.5) / (df + 0.5))
     shipped = spark.sparkContext.broadcast((idf, total / max(1, n)))
-    shards = tails.repartitionByRange(max(1, ceil(n / shard)), "near", "nearer", "key").select("key", "start", "length", "doc_tokens", "ids")
-    packed = shards.mapInPandas(_pack(shipped, window, shard), _PIECE)
+    order = ["near", "nearer", "key", "start", "length", "ids"]
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // shard + 1)  # few tails make one shard
+    dealt = tails.repartitionByRange(parts, *order[:3]).sortWithinPartitions(*order)
+    packed = dealt.select("key", "start", "length", "doc_tokens", "ids").mapInPandas(_pack(shipped, window, shard), _PIECE)
     full = cut.filter("sequence_id >= 0").select("key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
     return full.unionByName(packed).select(F.col("key").cast(kind).alias(id), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
