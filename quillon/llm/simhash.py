@@ -11,14 +11,19 @@ least one such shard: nothing is missed.  A shard's fingerprints go into a BK-tr
 (children keyed by their Hamming distance to the parent), and a lookup follows only
 the edges whose distance is within the radius of its own distance to the node.
 The number of ranges follows from the number of fingerprints, so that a shard of
-evenly spread ones stays small.  Trees go to the tasks that hold their shard's
-queries rather than to every executor: all trees together grow with the corpus
-and have no size bound to broadcast under.
+evenly spread ones stays small.
 
 Scale.  Equal fingerprints are one node.  Shards of one fingerprint are dropped in
-the JVM.  A shard of more than ``TREE`` fingerprints is cut into trees of that size,
-and each pair of its parts is one unit of work.  A unit reports a spanning forest of
-its links, never all pairs.  Components come from :mod:`quillon.llm.components`.
+the JVM; a larger one becomes trees of at most ``TREE`` fingerprints, built where its
+rows are.  Trees are broadcast in slices of measured size, ``SLICE_BYTES`` each, one
+after the other, and all fingerprints look their shards up in place, without a shuffle of
+their own.  As all trees together grow with the corpus, that is done for up to ``SLICES``
+slices; beyond them (the log says so) the trees stay where they are and their queries come to
+them.  Either way a task reports a spanning forest of the links that it finds, never all pairs.
+Components come from :mod:`quillon.llm.components`.
+
+Similarity.  :func:`keep_one` takes the same operator to five-word shingles and a similarity
+of at least 0.8, see :mod:`quillon.llm.simhash_similarity`.
 
 Cases.  A null text counts as empty; a text without words has fingerprint zero and
 links like any other.  A null id cannot be a node: such a document's component is
@@ -29,9 +34,11 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
+from array import array
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
@@ -41,11 +48,14 @@ from pyspark.sql import functions as F
 
 from quillon.llm.components import components
 from quillon.llm.workers import small_batches
-from quillon.storage import stash
+from quillon.storage import discard, stash
 
+LOG = logging.getLogger(__name__)
 SEED, WORDS, RADIUS = 42, 4, 4
 #: Fingerprints of one tree; expected fingerprints in a shard before more ranges are used; hashes held at once.
 TREE, SHARD, PIECE = 2048, 64, 1 << 15
+#: Bytes of a fingerprint in a tree that is sent (itself, its node, first child, next sibling, edge); bytes of a slice of trees; most slices.
+ENTRY, SLICE_BYTES, SLICES = 25, 32 << 20, 64
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -114,33 +124,105 @@ class BKTree:
                     todo.append(below)
 
 
-def forest(tree_values: list[int], tree_nodes: list[int], queries: list[int], query_nodes: list[int], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links of one unit; without queries, of the tree's own."""
-    nodes = tree_nodes + query_nodes
-    root = list(range(len(nodes)))
+class Forest:
+    """Spanning links of what has been met so far."""
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def _find(self, x: int) -> int:
+        root = self.root
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
         return x
 
-    out, tree = [], BKTree()
+    def meet(self, a: int, b: int) -> None:
+        x, y = self._find(a), self._find(b)
+        if x != y:
+            self.root[x] = y
+            self.links.append((a, b))
 
-    def meet(value: int, place: int) -> None:
-        for other in tree.within(value, radius):
-            a, b = find(place), find(other)
-            if a != b:
-                root[a] = b
-                out.append((nodes[place], nodes[other]))
+    def told(self) -> list[tuple[int, int]]:
+        """Links found since the last call."""
+        out, self.links = self.links, []
+        return out
 
-    for place, value in enumerate(tree_values):
+
+def forest(tree_values: list[int], tree_nodes: list[int], queries: list[int], query_nodes: list[int], radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of one unit; without queries, of the tree's own."""
+    found, tree = Forest(), BKTree()
+    for value, node in zip(tree_values, tree_nodes):
         if not queries:
-            meet(value, place)
+            for other in tree.within(value, radius):
+                found.meet(node, tree_nodes[other])
         tree.add(value)
-    for i, value in enumerate(queries):
-        meet(value, len(tree_values) + i)
-    return out
+    for value, node in zip(queries, query_nodes):
+        for other in tree.within(value, radius):
+            found.meet(node, tree_nodes[other])
+    return found.told()
+
+
+_FLAT = "t int, k long, fp array<long>, node array<long>, first array<int>, next array<int>, edge array<int>"
+
+
+def flat(tree: BKTree) -> tuple[list[int], list[int], list[int]]:
+    """First child, next sibling and edge to the parent of every place of a tree; -1 for none."""
+    n = len(tree.values)
+    first, following, edge = [-1] * n, [-1] * n, [0] * n
+    for at, below in enumerate(tree.children):
+        before = -1
+        for d, child in below.items():
+            edge[child], following[child] = d, before
+            before = child
+        first[at] = before
+    return first, following, edge
+
+
+class SentTrees:
+    """Trees of many shards in a few arrays, as they are broadcast."""
+
+    def __init__(self, rows) -> None:
+        """``rows``: an Arrow table of ``_FLAT``."""
+        rows = rows.sort_by([("t", "ascending"), ("k", "ascending")])
+        t, k = (rows.column(c).to_numpy() for c in ("t", "k"))
+        whole = {c: rows.column(c).combine_chunks() for c in ("fp", "node", "first", "next", "edge")}
+        sizes = np.diff(whole["fp"].offsets.to_numpy()) if len(t) else np.zeros(0, dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64).tolist()
+        values = lambda c, kind: array(kind, whole[c].flatten().to_numpy().astype(kind).tobytes())
+        self.fp, self.node = values("fp", "q"), values("node", "q")
+        self.first, self.next, self.edge = values("first", "i"), values("next", "i"), values("edge", "b")
+        self.shards = {int(x): (k[t == x], int(np.searchsorted(t, x))) for x in np.unique(t)}
+
+    def lookup(self, fps: np.ndarray, nodes: list[int], keys: dict[int, np.ndarray], radius: int, found: Forest) -> None:
+        """Meet each fingerprint with all within ``radius`` in the trees of its shards."""
+        values = fps.view(np.uint64).tolist()
+        for t, (known, base) in self.shards.items():
+            at = np.searchsorted(known, keys[t])
+            hit = np.flatnonzero((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == keys[t]))
+            for row in hit.tolist():
+                tree = int(at[row])
+                while tree < len(known) and known[tree] == keys[t][row]:  # a large shard has several trees
+                    for other in self.within(base + tree, values[row], radius):
+                        if other != nodes[row]:
+                            found.meet(nodes[row], other)
+                    tree += 1
+
+    def within(self, tree: int, value: int, radius: int) -> Iterator[int]:
+        """Nodes of one tree at most ``radius`` away."""
+        start, mask = self.starts[tree], (1 << 64) - 1
+        todo = [start]
+        while todo:
+            at = todo.pop()
+            d = (value ^ (self.fp[at] & mask)).bit_count()
+            if d <= radius:
+                yield self.node[at]
+            child = self.first[at]
+            while child >= 0:
+                if d - radius <= self.edge[start + child] <= d + radius:
+                    todo.append(start + child)
+                child = self.next[start + child]
 
 
 def _ranges(blocks: int) -> list[tuple[int, int]]:
@@ -172,52 +254,109 @@ def shard_keys(fp: Column, blocks: int, radius: int) -> Column:
     return F.array(*keys)
 
 
-def _units(radius: int):
-    """Python side of the search: rows sorted by unit in, links out."""
+def shard_keys_of(fps: np.ndarray, blocks: int, radius: int) -> dict[int, np.ndarray]:
+    """What :func:`shard_keys` says, for an array of signed fingerprints."""
+    cut, unsigned = _ranges(blocks), fps.view(np.uint64)
+    out = {}
+    for t, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+        key = np.zeros(len(fps), dtype=np.uint64)
+        for c in chosen:
+            low, bits = cut[c]
+            key = key << np.uint64(bits) | unsigned >> np.uint64(low) & np.uint64((1 << bits) - 1)
+        out[t] = key.view(np.int64)
+    return out
+
 
-    def links(group: pd.DataFrame) -> list[tuple[int, int]]:
-        own, other = group[group["c"] == group["i"]], group[group["c"] != group["i"]]
-        values = lambda g: g["fp"].to_numpy().view(np.uint64).tolist()
-        if group["i"].iat[0] != group["j"].iat[0] and other.empty:
-            return []
-        return forest(values(own), own["node"].tolist(), values(other), other["node"].tolist(), radius)
+def _runs_of(columns: list[str], unit):
+    """``unit`` over the rows of each run of equal ``columns`` of sorted rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            unit = batch[["t", "k", "i", "j"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1).tolist()]
-            fps, nodes = batch["fp"].to_numpy().view(np.uint64).tolist(), batch["node"].tolist()
-            whole = (unit[:, 2] == unit[:, 3]).tolist()
-            out = []
-            for a, b in zip(cuts, cuts[1:]):
-                if b - a == 2 and whole[a]:  # by far the most
-                    if (fps[a] ^ fps[a + 1]).bit_count() <= radius:
-                        out.append((nodes[a], nodes[a + 1]))
-                elif b - a > 1:
-                    out += forest(fps[a:b], nodes[a:b], [], [], radius) if whole[a] else links(batch.iloc[a:b])
+            keys = batch[columns].to_numpy()
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+            yield from unit([batch.iloc[a:b] for a, b in zip(cuts, cuts[1:])])
             rest = batch.iloc[cuts[-1] :]
-            if out:
+        if rest is not None and len(rest):
+            yield from unit([rest])
+
+    return run
+
+
+def _values(group: pd.DataFrame) -> list[int]:
+    return group["fp"].to_numpy().view(np.uint64).tolist()
+
+
+def _build(groups: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of one tree each to the tree."""
+    out = []
+    for group in groups:
+        tree = BKTree()
+        for value in _values(group):
+            tree.add(value)
+        out.append((group["t"].iat[0], group["k"].iat[0], group["fp"].to_numpy(), group["node"].to_numpy(), *flat(tree)))
+    if out:
+        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in _FLAT.split(", ")])
+
+
+def _meet(radius: int):
+    """Rows of a unit, one or two parts of a shard, to its links."""
+
+    def unit(groups: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for group in groups:
+            own = (group["c"] == group["i"]).to_numpy()
+            if own.all() and group["i"].iat[0] != group["j"].iat[0]:
+                continue
+            tree, asks = group[own], group[~own]
+            out += forest(_values(tree), tree["node"].tolist(), _values(asks), asks["node"].tolist(), radius)
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return unit
+
+
+def _look_up(shipped, blocks: int, radius: int):
+    """Fingerprints (fp, node) to links with the broadcast trees."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = Forest()
+        for batch in batches:
+            fps = batch["fp"].to_numpy()
+            shipped.value.lookup(fps, batch["node"].tolist(), shard_keys_of(fps, blocks, radius), radius, found)
+            if out := found.told():
                 yield pd.DataFrame(out, columns=["a", "b"])
-        if rest is not None and len(rest) > 1:
-            yield pd.DataFrame(links(rest), columns=["a", "b"], dtype="int64")
 
     return run
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
-    """Links (a, b) that connect all of ``nodes`` (fp, node) that are within ``radius`` bits; a spanning forest by unit."""
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Links (a, b) that connect all of ``nodes`` (fp, node) that are within ``radius`` bits; spanning forests."""
+    spark = nodes.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = choose_blocks(nodes.count(), radius)
     filed = nodes.select("fp", "node", F.explode(shard_keys(F.col("fp"), blocks, radius)).alias("s")).select("fp", "node", "s.t", "s.k")
     sizes = filed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / tree).cast("int")
-    met = filed.join(sizes.repartition(n), ["t", "k"]).withColumn("parts", parts).withColumn("c", F.pmod(F.hash("fp"), "parts"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))
-    units = met.select("fp", "node", "t", "k", "c", F.explode(pair).alias("p")).select("fp", "node", "t", "k", "c", "p.i", "p.j")
-    units = units.repartition(n, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "c")
-    return units.mapInPandas(_units(radius), "a long, b long")
+    met = stash(filed.join(sizes.repartition(n), ["t", "k"]).withColumn("parts", parts).withColumn("c", F.pmod(F.hash("fp"), "parts")).drop("n"))
+    slices = ceil(met.count() * ENTRY / SLICE_BYTES)
+    if slices > SLICES:
+        LOG.warning("%d slices of trees are more than the %d that are broadcast; queries are sent to their trees", slices, SLICES)
+        pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))
+        units = met.select("fp", "node", "t", "k", "c", F.explode(pair).alias("p")).select("fp", "node", "t", "k", "c", "p.i", "p.j")
+        units = units.repartition(n, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "c")
+        return units.mapInPandas(_runs_of(["t", "k", "i", "j"], _meet(radius)), "a long, b long")
+    rows = met.repartition(n, "t", "k", "c").sortWithinPartitions("t", "k", "c").select("t", "k", "c", "fp", "node")
+    trees = rows.mapInPandas(_runs_of(["t", "k", "c"], _build), _FLAT)
+    trees = stash(trees.withColumn("s", F.pmod(F.xxhash64("t", "k", F.element_at("node", 1)), F.lit(max(1, slices))).cast("int")), "s")
+    found = None
+    for s in range(max(1, slices)):
+        sent = spark.sparkContext.broadcast(SentTrees(trees.filter(F.col("s") == s).drop("s").toArrow()))
+        found = stash(nodes.select("fp", "node").mapInPandas(_look_up(sent, blocks, radius), "a long, b long"), to=found)
+        sent.unpersist()
+    discard(met, trees)
+    return found
 
 
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -229,7 +368,14 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     return marked.join(stash(named), "fp").select(id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The document with the smallest id of each component, with all its columns; documents without an id stay."""
-    gone = near_groups(docs, id, text, words, radius).filter(F.col(id) != F.col("component_id")).select(F.col(id).alias("__gone"))
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of each component of documents whose sets of shingles have a similarity of at least ``similarity``, the smallest id, with all its columns.
+
+    Documents without an id stay.  Candidates are fingerprints near each other in a shard's BK-tree; each is confirmed exactly.
+    """
+    from quillon.llm.simhash_similarity import members
+
+    named = members(docs, id, text, words, similarity)
+    least = named.groupBy("component").agg(F.min("id").alias("least"))
+    gone = named.join(least, "component").filter("id != least").select(F.col("id").alias("__gone")).distinct()
     return docs.join(stash(gone), docs[id] == F.col("__gone"), "left_anti")

@@ -66,8 +66,10 @@ def connected(values, radius=4):
     return {k: find(k) for k in values}
 
 
-@pytest.mark.parametrize("tree", [2048, 7])
-def test_links_connect_what_brute_force_does(spark, tree):
+@pytest.mark.parametrize(("tree", "size", "slices"), [(2048, 1 << 25, 64), (7, 3000, 64), (7, 3000, 0)])  # one broadcast, several, none
+def test_links_connect_what_brute_force_does(spark, monkeypatch, tree, size, slices):
+    monkeypatch.setattr(simhash, "SLICE_BYTES", size)
+    monkeypatch.setattr(simhash, "SLICES", slices)
     rng = random.Random(5)
     values = {}
     for c in range(12):
