@@ -9,16 +9,15 @@ the limit of a generated method.  Both give the same text (tests hold them toget
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import cache
-from importlib.resources import files
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.rules import wordings
 from quillon.rules.tables import NUMBER_WORDS
 
 Rule = tuple[str, str]
@@ -26,17 +25,22 @@ Rule = tuple[str, str]
 CHAIN = 40
 
 
+def spelling_rules(words: Mapping[str, Sequence[str]]) -> list[Rule]:
+    """A rule for each standard word; the longest spelling is tried first, words in it may be apart by any space."""
+    spelled = lambda ws: "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in sorted(ws, key=lambda w: (-len(w), w)))
+    return [(rf"\b(?:{spelled(own)})\b(?!\s+{re.escape(word.split(' ')[-1])}\b)" if " " in word else rf"\b(?:{spelled(own)})\b", word) for word, own in words.items()]
+
+
 @cache
 def shipped_rules() -> dict[str, list[Rule]]:
-    """The families of rules that come with the package, in order."""
-    data = json.loads(files("quillon.rules").joinpath("rewrite.json").read_text("utf-8"))
-    return {family: [(p, r) for p, r in rules] for family, rules in data.items()}
+    """The rules that have conditions of their own, and those for every text (``main``), in order."""
+    main = [r for part in wordings.ORDER for r in (wordings.PATTERNS[part] if isinstance(part, str) else spelling_rules(part))]
+    return {"contrast": list(wordings.PATTERNS["contrast"]), "breast": list(wordings.PATTERNS["breast"]), "main": main}
 
 
 def main_rules() -> list[Rule]:
-    """All families but the two that have conditions of their own, after number words."""
-    numbers = [(rf"\b{word}\b", str(n)) for n, word in enumerate(NUMBER_WORDS)]
-    return numbers + [r for family, rules in shipped_rules().items() if family not in ("contrast", "conditional") for r in rules]
+    """Number words, then the rules for every text."""
+    return [(rf"\b{word}\b", str(n)) for n, word in enumerate(NUMBER_WORDS)] + shipped_rules()["main"]
 
 
 def valid_rules(rules: Sequence[Rule]) -> list[Rule]:
@@ -92,7 +96,7 @@ def contrast_text(text: Column) -> Column:
 
 def conditional_rewrite(text: Column, when: str = r"\b(?:MM|MG|MAMMO(?:GRAM|GRAPHY)?)\b", rules: Sequence[Rule] | None = None) -> Column:
     """``rules`` for texts that match ``when`` only."""
-    rules = shipped_rules()["conditional"] if rules is None else rules
+    rules = shipped_rules()["breast"] if rules is None else rules
     return F.when(text.rlike(when), fold_rules(text, rules, "chain")).otherwise(text)
 
 

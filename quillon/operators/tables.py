@@ -47,6 +47,11 @@ def delete_rows(table: DataFrame, id: str, ids: list) -> DataFrame:
     return table.filter(~F.col(id).isin(ids))
 
 
+def truncate(table: DataFrame) -> DataFrame:
+    """No rows, the same columns."""
+    return table.limit(0)
+
+
 def update_row(table: DataFrame, id: str, value, changes: dict) -> DataFrame:
     hit = F.col(id) == value
     return table.withColumns({c: F.when(hit, F.lit(v)).otherwise(F.col(c)).cast(table.schema[c].dataType) for c, v in changes.items()})

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import extract, rewrite
@@ -21,6 +23,19 @@ def with_ordinal(df: DataFrame, name: str = "ix") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def with_row_number(df: DataFrame, name: str = "ix") -> DataFrame:
+    """A gapless number from 0 in the order of the files' rows.
+
+    Partitions keep that order, so a count for each of them gives where it starts; no
+    task sees the whole table.
+    """
+    dealt = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__pid", F.shiftright("__at", 33))
+    sizes = dealt.groupBy("__pid").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    starts = sizes.select("__pid", (F.sum("n").over(W.orderBy("__pid")) - F.col("n")).alias("__start"))
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(F.broadcast(starts), "__pid").withColumn(name, F.col("__start") + place).drop("__at", "__pid", "__start")
+
+
 def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
     """Catalog rows as text, by the names in the header, with an ordinal.  Missing columns are null."""
     raw = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("escape", '"').csv(path)
@@ -121,6 +136,32 @@ def reload(frame: DataFrame, read) -> DataFrame:
     return read().cache()
 
 
+def file_marks(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, size, time of change) of the files behind a path, in any store."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in store.listStatus(target)) if store.exists(target) else []
+
+
+class Watched:
+    """A table that is read again when its files change; ``made`` (an index, a matcher) is then made anew."""
+
+    def __init__(self, spark: SparkSession, path: str, read: Callable[[], DataFrame], make: Callable[[DataFrame], object] = lambda df: df):
+        self.spark, self.path, self.read, self.make = spark, path, read, make
+        self.marks: list[tuple[str, int, int]] | None = None
+        self.frame: DataFrame | None = None
+
+    def get(self) -> object:
+        """What was made of the files as they are now."""
+        now = file_marks(self.spark, self.path)
+        if now != self.marks:
+            if self.frame is not None:
+                self.frame.unpersist()
+            self.frame, self.marks = self.read().cache(), now
+            self.made = self.make(self.frame)
+        return self.made
+
+
 @dataclass(frozen=True)
 class Settings:
     """What a deployment may set."""
