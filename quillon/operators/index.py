@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import similarity
+from quillon.operators.sized import small
 
 #: Terms of an index at most.
 VOCABULARY = 5000
@@ -69,11 +70,12 @@ def top_k(pairs: DataFrame, query: str, order: list[Column], k: int, rank: str =
 def dense_pairs(queries: DataFrame, index: DataFrame, query_vec: str, index_vec: str, name: str = "sim") -> DataFrame:
     """Cosines of a stated, small set of queries with all rows of the index.
 
-    The queries are the broadcast side, whatever the size of the index.
+    The queries are the broadcast side as long as they are few; more of them meet the
+    index in blocks.
     """
     q = queries.withColumn("__q", similarity.unit(F.col(query_vec))).drop(query_vec)
     i = index.withColumn("__i", similarity.unit(F.col(index_vec))).drop(index_vec)
-    return i.join(F.broadcast(q)).withColumn(name, similarity.dot(F.col("__q"), F.col("__i"))).drop("__q", "__i")
+    return i.join(small(q)).withColumn(name, similarity.dot(F.col("__q"), F.col("__i"))).drop("__q", "__i")
 
 
 def hashed_encoder(dim: int = 64) -> Callable[[Column], Column]:

@@ -8,13 +8,15 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.ml.regression import DecisionTreeRegressor, IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import similarity
 from quillon.operators.index import top_k
 from quillon.rules import tables as T
+from quillon.storage import discard, stash
 
 
 def feature_columns(q: Column, norm: Column) -> dict[str, Column]:
@@ -45,16 +47,47 @@ def feature_columns(q: Column, norm: Column) -> dict[str, Column]:
     }
 
 
+def legacy_columns(q: Column, norm: Column) -> dict[str, Column]:
+    """The older model's features of a pair: similarities, attributes, lengths and overlaps."""
+    c = F.col
+    desc, parts, tokens = c("desc"), q["body_parts"], F.split(norm, " ")
+    views = F.when(q["views"].isNull(), 0.0).when(q["views"] == c("views"), 1.0).otherwise(-1.0)
+    ranker = feature_columns(q, norm)
+    own = {
+        "view_match": views,
+        "body_overlap": F.when(F.size(c("regions")) > 0, similarity.coverage(parts, c("regions"))).otherwise(0.0),
+        "query_length": F.length(norm).cast("double"),
+        "code_length": F.length(desc).cast("double"),
+        "length_ratio": F.length(norm) / F.greatest(F.length(desc), F.lit(1)),
+        "knowledge_overlap": similarity.coverage(c("tokens"), q["knowledge_tokens"]),
+        "weighted_overlap": similarity.weighted_overlap(F.array_distinct(tokens), c("tokens")),
+        "abbreviation": similarity.abbreviation_score(norm, desc),
+    }
+    same = ("text_sim_char", "modality_match", "contrast_match", "laterality_match", "token_overlap_jacc", "is_exact_prefix", "norm_edit_distance", "proc_keyword_score", "alias_overlap", "text_sim_word")
+    return {n: ranker[n] for n in same} | own | {"fuzzy_ratio": c("fuzzy")}
+
+
+def legacy_features(pairs: DataFrame, q: str = "q", norm: str = "normalized") -> DataFrame:
+    """Add the older model's feature columns (``l_...``) to rows of :func:`quillon.operators.score.score_pairs`."""
+    made = legacy_columns(F.col(q), F.col(norm))
+    return pairs.select("*", *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"l_{n}") for n, c in made.items()])
+
+
+def group_sizes(rows: DataFrame, query: str = "qid", label: str = "label") -> DataFrame:
+    """(query, rows, positives) of the groups that a ranker is trained on."""
+    return rows.groupBy(query).agg(F.count(F.lit(1)).alias("rows"), F.sum(label).alias("positives"))
+
+
 def features(pairs: DataFrame, q: str = "q", norm: str = "normalized") -> DataFrame:
     """Add the feature columns, in their order; missing codes give zeros."""
     made = feature_columns(F.col(q), F.col(norm))
     return pairs.select("*", *[F.coalesce(made[n].cast("double"), F.lit(0.0)).alias(f"f_{n}") for n in T.FEATURES])
 
 
-def negatives(pairs: DataFrame, query: str = "qid", code: str = "code", label: str = "label", most: int = T.NEGATIVES, seed: int = 42) -> DataFrame:
-    """Each query's positives and at most ``most`` others, drawn by a seeded hash."""
+def negatives(pairs: DataFrame, query: str = "qid", code: str = "code", label: str = "label", most: int = T.NEGATIVES, seed: int = 42, first: Column | None = None) -> DataFrame:
+    """Each query's positives and at most ``most`` others, drawn by a seeded hash; those where ``first`` holds come first."""
     draw = F.md5(F.concat_ws(":", F.col(query).cast("string"), F.col(code).cast("string"), F.lit(seed)).cast("binary"))
-    others = top_k(pairs.filter(F.col(label) == 0), query, [draw.asc(), F.asc(code)], most, "__n").drop("__n")
+    others = top_k(pairs.filter(F.col(label) == 0), query, [*([] if first is None else [F.desc(first)]), draw.asc(), F.asc(code)], most, "__n").drop("__n")
     return pairs.filter(F.col(label) == 1).unionByName(others)
 
 
@@ -131,6 +164,88 @@ def fit_ranker(rows: DataFrame, names: list[str], query: str = "qid", label: str
     return Ranker(model.coefficients.toArray().tolist(), list(names))
 
 
+@dataclass
+class TreeRanker:
+    """A ranker of boosted trees: a sum of regression trees over the features."""
+
+    trees: list[PipelineModel]
+    names: list[str]
+    rate: float
+    calibration: IsotonicRegressionModel | None = None
+
+    def score(self, rows: DataFrame, name: str = "raw") -> DataFrame:
+        out = rows.withColumn(name, F.lit(0.0))
+        for tree in self.trees:
+            out = tree.transform(out).withColumn(name, F.col(name) + self.rate * F.col("__step")).drop("__x", "__step")
+        return out
+
+    confidence = Ranker.confidence
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        head = spark.createDataFrame([(len(self.trees), float(self.rate), list(self.names))], "trees int, rate double, names array<string>")
+        head.coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
+        for i, tree in enumerate(self.trees):
+            tree.write().overwrite().save(f"{path}/tree={i}")
+        if self.calibration is not None:
+            self.calibration.write().overwrite().save(f"{path}/calibration")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TreeRanker:
+        head = spark.read.parquet(f"{path}/head").first()
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/calibration")
+        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        trees = [PipelineModel.load(f"{path}/tree={i}") for i in range(head.trees)]
+        return cls(trees, list(head.names), head.rate, IsotonicRegressionModel.load(f"{path}/calibration") if there else None)
+
+
+def lambdas(scored: DataFrame, query: str = "qid", label: str = "label", tie: str = "code", raw: str = "raw") -> DataFrame:
+    """Add ``__slope`` and ``__curve``: what each row's score should change by, from pairs of a right and a wrong row.
+
+    A pair weighs as much as exchanging its two places would change the discounted gain (labels 0 and 1).
+    Pairs are of one query's sampled rows only.
+    """
+    place = F.row_number().over(W.partitionBy(query).orderBy(F.desc(raw), F.asc(tie)))
+    rows = scored.select(query, tie, label, raw, (1 / F.log2(place + 1)).alias("gain"))
+    best = F.sum(1 / F.log2(F.col("n") + 1))
+    ideal = rows.filter(F.col(label) == 1).withColumn("n", F.row_number().over(W.partitionBy(query).orderBy(tie))).groupBy(query).agg(best.alias("ideal"))
+    good = rows.filter(F.col(label) == 1).select(query, F.col(tie).alias("g"), F.col(raw).alias("gr"), F.col("gain").alias("gg"))
+    bad = rows.filter(F.col(label) == 0).select(query, F.col(tie).alias("b"), F.col(raw).alias("br"), F.col("gain").alias("bg"))
+    rho = 1 / (1 + F.exp(F.col("gr") - F.col("br")))
+    pairs = good.join(bad, query).join(ideal, query).withColumn("d", F.abs(F.col("gg") - F.col("bg")) / F.col("ideal")).withColumn("rho", rho)
+    push, bend = F.col("rho") * F.col("d"), F.col("rho") * (1 - F.col("rho")) * F.col("d")
+    ends = F.array(F.struct(F.col("g").alias(tie), push.alias("s"), bend.alias("c")), F.struct(F.col("b").alias(tie), (-push).alias("s"), bend.alias("c")))
+    sums = pairs.select(query, F.explode(ends).alias("e")).groupBy(query, F.col(f"e.{tie}").alias(tie)).agg(F.sum("e.s").alias("__slope"), F.sum("e.c").alias("__curve"))
+    return scored.join(sums, [query, tie], "left").fillna(0.0, ["__slope", "__curve"])
+
+
+def fit_tree_ranker(rows: DataFrame, names: list[str], query: str = "qid", label: str = "label", tie: str = "code", rounds: int = 20, depth: int = 4, rate: float = 0.3) -> TreeRanker:
+    """List-wise ranking by boosted trees: each round fits a tree to the Newton step of the :func:`lambdas` and adds it."""
+    from pyspark.ml import Pipeline
+
+    ranker = TreeRanker([], list(names), rate)
+    scored = rows.select(query, tie, label, *names).withColumn("raw", F.lit(0.0))
+    for _ in range(rounds):
+        aimed = lambdas(scored, query, label, tie).withColumn("__aim", F.col("__slope") / (F.col("__curve") + 1e-3)).withColumn("__w", F.col("__curve") + 1e-3)
+        aimed = stash(aimed)
+        stages = [
+            VectorAssembler(inputCols=names, outputCol="__x"),
+            DecisionTreeRegressor(featuresCol="__x", labelCol="__aim", weightCol="__w", predictionCol="__step", maxDepth=depth, minInstancesPerNode=3, seed=42),
+        ]
+        tree = Pipeline(stages=stages).fit(aimed)
+        ranker.trees.append(tree)
+        step = tree.transform(aimed).withColumn("raw", F.col("raw") + rate * F.col("__step"))
+        scored = stash(step.select(query, tie, label, *names, "raw"))
+        discard(aimed)
+    return ranker
+
+
+def scaled(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns ``names`` with mean 0 and standard deviation 1, as the older model is fed."""
+    data = VectorAssembler(inputCols=names, outputCol="__raw").transform(rows)
+    out = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(data).transform(data)
+    return out.withColumn("__x", vector_to_array("__x")).withColumns({n: F.col("__x")[i] for i, n in enumerate(names)}).drop("__raw", "__x")
+
+
 def calibrate(ranker: Ranker, margins: DataFrame, least: int = 30) -> Ranker:
     """Fit ``margin`` to ``correct`` (0 or 1), given ``least`` examples at least."""
     if margins.count() >= least:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.index import top_k
+from quillon.operators.sized import small
 
 
 def exact_map(mappings: DataFrame, catalog: DataFrame, key: str = "norm", code: str = "code", order: str = "ix") -> DataFrame:
@@ -25,12 +26,16 @@ def blocked(queries: DataFrame, catalog: DataFrame, block: str) -> DataFrame:
     """Pairs with an equal block; a query without a block meets the whole catalog.
 
     Two branches, as a join on "equal or null" would plan as a nested loop.  The branch
-    of unblocked queries broadcasts the catalog, a table of some thousand rows by nature.
+    of unblocked queries is a :func:`full_scan`.
     """
     cat = catalog.withColumnRenamed(block, f"catalog_{block}")
     equal = queries.filter(F.col(block).isNotNull()).join(cat, F.col(block) == F.col(f"catalog_{block}"))
-    free = queries.filter(F.col(block).isNull()).join(F.broadcast(cat))
-    return equal.unionByName(free)
+    return equal.unionByName(full_scan(queries.filter(F.col(block).isNull()), cat))
+
+
+def full_scan(queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Every query with every catalog row; the catalog, some thousand rows by nature, is broadcast if it is that small."""
+    return queries.join(small(catalog))
 
 
 def candidates(*pools: DataFrame, query: str = "qid", code: str = "code") -> DataFrame:

@@ -87,16 +87,26 @@ def placeholder_log(total: Column, prior: int = T.PRIOR_POINTS) -> Column:
     return F.array(row("ranker", total - prior), row("prior", F.lit(prior)), row("TOTAL", total))
 
 
-def forest_points(proba: Column, q: Column) -> Column:
-    """The older model's points: 500 times the probability, less for a view, contrast or side that differs."""
-    c = F.col
-    views = F.when(q["views"].isNotNull() & (q["views"] != c("views")), -100).otherwise(0)
-    contrast = F.when((q["contrast"] != "UNKNOWN") & (q["contrast"] != c("contrast")), -120).otherwise(0)
-    side = F.when((q["laterality"] != "NONE") & ~c("laterality").isin("NONE") & (q["laterality"] != c("laterality")), -150).otherwise(0)
-    return F.greatest(proba * 500 + views + contrast + side, F.lit(0.0))
+def _names_part(q: Column) -> Column:
+    return F.exists(q["body_parts"], lambda p: F.col("desc").contains(p))
+
 
+def _no_overlap(q: Column) -> Column:
+    return (F.size(q["body_parts"]) > 0) & ~F.arrays_overlap(q["body_parts"], F.col("regions"))
 
-def forest_or_rules(proba: Column, rules: Column, q: Column) -> Column:
-    """The better of both models, but the rules alone where the body parts differ."""
-    differs = (F.size(q["body_parts"]) > 0) & (F.size(F.col("regions")) > 0) & ~F.arrays_overlap(q["body_parts"], F.col("regions"))
-    return F.when(differs, rules).otherwise(F.greatest(forest_points(proba, q), rules))
+
+def forest_points(proba: Column, q: Column, norm: Column) -> Column:
+    """The older model's points: 500 times the probability, and what differs or is met."""
+    c = F.col
+    other = terms(q, norm, F.lit(0.0), F.lit(0.0))
+    views = F.least(other["views"], F.lit(0))
+    contrast = F.when(similarity.contrast_match(q["contrast"], c("contrast")) < 0, -120).otherwise(0)
+    side = F.when(similarity.laterality_match(q["laterality"], c("laterality")) < 0, -60).otherwise(0)
+    body = F.when(~_no_overlap(q), 0).when(_names_part(q), 50).otherwise(-400)
+    return (proba * 500).cast("int") + views + contrast + side + body + other["procedure"] + other["generic"] + other["plurality"] + other["modifiers"]
+
+
+def forest_or_rules(proba: Column, rules: Column, q: Column, norm: Column) -> Column:
+    """The better of both models; the rules are not asked where the body parts differ."""
+    forest, differs = forest_points(proba, q, norm).cast("double"), _no_overlap(q) & ~_names_part(q)
+    return F.when(~differs & (rules > forest), rules).otherwise(forest)

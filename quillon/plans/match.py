@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import extract, rewrite, similarity
-from quillon.operators import index, learn, rank, retrieve, score
+from quillon.operators import index, learn, rank, retrieve, score, tables
+from quillon.operators.sized import small
 from quillon.rules import tables as T
 from quillon.storage import stash
+from quillon.streaming import feedback
 
 
 class Matcher:
@@ -22,8 +25,7 @@ class Matcher:
     """
 
     def __init__(self, catalog: DataFrame, mappings: DataFrame, user_rules: Sequence[rewrite.Rule] = (), encoder: Callable[[Column], Column] | None = None):
-        self.catalog, self.mappings, self.user_rules = catalog.withColumnRenamed("ix", "code_ix"), mappings, list(user_rules)
-        self.encoder = encoder or index.hashed_encoder()
+        self._take(catalog, mappings, user_rules, encoder)
         self.aliases, self.counts = stash(index.alias_tokens(mappings)), stash(index.train_counts(mappings))
         self.vocabulary = stash(extract.body_vocabulary(catalog, "regions"))
         texts = index.alias_text(self.catalog.withColumn("description", F.col("desc")), mappings)
@@ -36,6 +38,53 @@ class Matcher:
             vocab = stash(index.vocabulary(counts, self.n))
             self.sparse[name] = (grams, vocab, stash(index.weights(counts, vocab, "code")))
 
+    def _take(self, catalog: DataFrame, mappings: DataFrame, user_rules: Sequence[rewrite.Rule], encoder: Callable[[Column], Column] | None) -> None:
+        self.catalog = catalog if "code_ix" in catalog.columns else catalog.withColumnRenamed("ix", "code_ix")
+        self.mappings, self.user_rules, self.encoder = mappings, list(user_rules), encoder or index.hashed_encoder()
+
+    #: Tables that make up a matcher beside its catalog and mappings.
+    PARTS = ("aliases", "counts", "vocabulary", "texts", "exact")
+
+    def save(self, path: str) -> None:
+        """Write all indexes under ``path``."""
+        for name in ("catalog", "mappings", *self.PARTS):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        for name, (_, vocab, weights) in self.sparse.items():
+            vocab.write.mode("overwrite").parquet(f"{path}/{name}_terms")
+            weights.write.mode("overwrite").parquet(f"{path}/{name}_weights")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, user_rules: Sequence[rewrite.Rule] = (), encoder: Callable[[Column], Column] | None = None) -> Matcher:
+        """A saved matcher; ``encoder`` must be the one that it was made with."""
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        out = cls.__new__(cls)
+        out._take(read("catalog"), read("mappings"), user_rules, encoder)
+        for name in cls.PARTS:
+            setattr(out, name, read(name))
+        out.n = out.texts.count()
+        out.sparse = {name: (grams, read(f"{name}_terms"), read(f"{name}_weights")) for name, grams in (("char", index.char_grams), ("word", index.word_grams))}
+        return out
+
+    def refreshed(self, batch: DataFrame, mappings: DataFrame) -> Matcher:
+        """A matcher for ``mappings``, of which ``batch`` (code, norm) is new or changed: only what its codes and keys touch is made anew.
+
+        The terms and idf of the sparse indexes stay those of the last full build.
+        """
+        out = type(self).__new__(type(self))
+        out._take(self.catalog, mappings, self.user_rules, self.encoder)
+        changed = self.catalog.join(batch.select("code").distinct(), "code", "left_semi").withColumn("description", F.col("desc"))
+        texts = index.alias_text(changed, feedback.changed_codes(batch, mappings)).select("code", "text", self.encoder(F.col("text")).alias("cv"))
+        out.aliases, out.counts = stash(feedback.refresh_aliases(self.aliases, batch, mappings)), stash(feedback.refresh_counts(self.counts, batch, mappings))
+        out.exact = stash(feedback.refresh_exact(self.exact, batch, mappings, self.catalog))
+        out.vocabulary, out.n = self.vocabulary, self.n
+        new = stash(texts)
+        out.texts = stash(tables.upsert(self.texts, new, "code"))
+        out.sparse = {}
+        for name, (grams, vocab, weights) in self.sparse.items():
+            own = index.weights(index.term_counts(new, "code", grams(F.col("text"))), vocab, "code")
+            out.sparse[name] = (grams, vocab, stash(weights.join(new.select("code"), "code", "left_anti").unionByName(own)))
+        return out
+
     def parsed(self, queries: DataFrame, text: str = "query") -> DataFrame:
         """Queries with their attributes, written once: many branches of the plan read them."""
         return stash(extract.parse(queries, self.vocabulary, text, self.user_rules))
@@ -46,27 +95,33 @@ class Matcher:
         return index.sparse_cosine(index.weights(counts, vocab, "qid"), codes, "qid", "code", f"{kind}_sim")
 
     def dense(self, parsed: DataFrame) -> DataFrame:
-        q = parsed.select("qid", self.encoder(F.col("normalized")).alias("qv"))
-        return q.join(F.broadcast(self.texts.select("code", "cv"))).select("qid", "code", similarity.dot(F.col("qv"), F.col("cv")).alias("embed_sim"))
+        return retrieve.full_scan(self.encoded(parsed), self.texts.select("code", "cv")).select("qid", "code", similarity.dot(F.col("qv"), F.col("cv")).alias("embed_sim"))
+
+    def encoded(self, parsed: DataFrame) -> DataFrame:
+        return parsed.select("qid", self.encoder(F.col("normalized")).alias("qv"))
 
     def candidates(self, parsed: DataFrame, k: int = T.K_SERVE) -> DataFrame:
-        """(qid, code) and similarities: the block of the modality and the nearest by three measures."""
+        """(qid, code) and similarities: the block of the modality and the nearest by three measures.
+
+        Of the dense measure only the nearest are kept of all pairs; candidates get theirs by their two vectors.
+        """
         asked = parsed.select("qid", F.col("q.modality").alias("modality"))
-        char, word, dense = stash(self.sims(parsed, "char")), stash(self.sims(parsed, "word")), self.dense(parsed)
+        char, word = stash(self.sims(parsed, "char")), stash(self.sims(parsed, "word"))
         pools = [
             retrieve.blocked(asked, self.catalog.select("code", "modality"), "modality"),
-            retrieve.pool_of(dense, k, sim="embed_sim"),
+            retrieve.pool_of(self.dense(parsed), k, sim="embed_sim"),
             retrieve.pool_of(char, k, sim="char_sim"),
             retrieve.pool_of(word, k, sim="word_sim"),
         ]
         out = retrieve.candidates(*pools)
-        for sims in (char, word, dense):
+        for sims in (char, word):
             out = out.join(sims, ["qid", "code"], "left")
-        return out
+        met = out.join(stash(self.encoded(parsed)), "qid").join(small(self.texts.select("code", "cv")), "code")
+        return met.withColumn("embed_sim", similarity.dot(F.col("qv"), F.col("cv"))).drop("qv", "cv")
 
     def pairs(self, parsed: DataFrame) -> DataFrame:
         """Candidates with the query's and the catalog's attributes."""
-        return self.candidates(parsed).join(parsed, "qid").join(F.broadcast(self.catalog), "code").join(self.aliases, "code", "left").join(self.counts, "code", "left")
+        return self.candidates(parsed).join(parsed, "qid").join(small(self.catalog), "code").join(self.aliases, "code", "left").join(self.counts, "code", "left")
 
     def match(self, queries: DataFrame, n: int = T.MAX_RESULTS, ranker: learn.Ranker | None = None, min_score: int = T.MIN_SCORE, boosts: Sequence[tuple[str, str, int]] = ()) -> DataFrame:
         """Ranked rows (one for each query and match) of ``queries`` (qid, query).
@@ -100,6 +155,27 @@ class Matcher:
         return parsed.select("qid", "original", "normalized", "q").join(out, "qid", "left")
 
 
+def legacy_match(matcher: Matcher, queries: DataFrame, forest: PipelineModel, n: int = T.MAX_RESULTS, boosts: Sequence[tuple[str, str, int]] = ()) -> DataFrame:
+    """The older match: the block of the modality, the better of the forest's points and the rules', boosts, the best ``n``."""
+    parsed = matcher.parsed(queries)
+    scored = learn.forest_scores(forest, legacy_pairs(matcher, parsed))
+    total = score.forest_or_rules(F.col("proba"), F.col("score"), F.col("q"), F.col("normalized"))
+    used = F.when(total == F.col("score"), "RULE").otherwise("ML")
+    out = score.boosts(scored.withColumn("via", used).withColumn("score", total), boosts).filter("score > 0")
+    return rank.ranked(out, n).withColumn("score", F.col("score").cast("int")).withColumn("method", F.lit("ML_MATCH"))
+
+
+def legacy_pairs(matcher: Matcher, parsed: DataFrame) -> DataFrame:
+    """Each parsed query with the codes of its modality (all, if it has none), rule scores and the older model's features."""
+    asked = parsed.select("qid", F.col("q.modality").alias("modality"))
+    pairs = retrieve.blocked(asked, matcher.catalog.select("code", "modality"), "modality").select("qid", "code")
+    for kind in ("char", "word"):
+        pairs = pairs.join(matcher.sims(parsed, kind), ["qid", "code"], "left")
+    rows = pairs.join(parsed, "qid").join(small(matcher.catalog), "code").join(matcher.aliases, "code", "left").join(matcher.counts, "code", "left")
+    rows = rows.withColumn("embed_sim", F.lit(0.0))
+    return learn.legacy_features(score.score_pairs(rows))
+
+
 def hinted(queries: DataFrame, text: str = "query", hint: str = "hint") -> DataFrame:
     """Queries with their manual modality in front, unless they have it somewhere."""
     needed = F.col(hint).isNotNull() & ~F.upper(F.coalesce(text, F.lit(""))).contains(F.upper(hint))

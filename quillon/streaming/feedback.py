@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from time import perf_counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillon.functions import rewrite
-from quillon.operators import index, tables
+from quillon.operators import index, retrieve, tables
 from quillon.sources.readers import MAPPING
 
 
@@ -47,6 +48,35 @@ def refresh_aliases(aliases: DataFrame, batch: DataFrame, mappings: DataFrame) -
     return tables.upsert(aliases, index.alias_tokens(changed_codes(batch, mappings)), "code")
 
 
+def refresh_counts(counts: DataFrame, batch: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Examples per code with the rows of changed codes made anew."""
+    return tables.upsert(counts, index.train_counts(changed_codes(batch, mappings)), "code")
+
+
+def refresh_exact(exact: DataFrame, batch: DataFrame, mappings: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Verified codes by key with the keys of the batch looked up anew."""
+    return tables.upsert(exact, retrieve.exact_map(mappings.join(batch.select("norm").distinct(), "norm", "left_semi"), catalog), "norm")
+
+
+def retrainer(spark: SparkSession, path: str, key: str, order: str, train: Callable[[DataFrame], object]) -> Callable[[DataFrame, int], None]:
+    """A merge for :func:`apply_batches` that keeps the latest row of each key and trains on them.
+
+    What arrives while training runs is one batch afterwards: requests coalesce.  Each batch
+    leaves one row of status under ``path``/status.
+    """
+    keep = latest_merger(spark, f"{path}/state", key, order)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        began = perf_counter()
+        keep(batch, batch_id)
+        state = spark.read.parquet(f"{path}/state/v={batch_id}")
+        trained = train(state) is not None
+        row = state.agg(F.count(F.lit(1)).alias("examples")).select(F.lit(batch_id).alias("batch"), "examples", F.lit(trained).alias("trained"), F.lit(perf_counter() - began).alias("seconds"))
+        row.write.mode("overwrite").parquet(f"{path}/status/b={batch_id}")
+
+    return merge
+
+
 def apply_batches(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
     """Run ``merge(batch, id)`` on every micro-batch; ``once`` works off what there is and ends."""
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
@@ -56,14 +86,16 @@ def apply_batches(stream: DataFrame, merge: Callable[[DataFrame, int], None], ch
 def latest_merger(spark: SparkSession, path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
     """A merge for :func:`apply_batches`: one row for each key in versions of a Parquet table under ``path``.
 
-    Each batch writes a version of its own, numbered by the batch, so that a repeated batch
-    overwrites its own version and nothing else.
+    The row with the greatest ``order`` counts, whichever batch brings it, so that late rows
+    do not displace newer ones; of equal ones the later batch's.  Each batch writes a version
+    of its own, numbered by the batch, so that a repeated batch overwrites its own version and
+    nothing else.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = tables.last_of_batch(batch, key, order)
+        new = batch.withColumn("__order", F.struct(F.col(order).alias("at"), F.lit(batch_id).alias("batch")))
         if batch_id:
-            new = tables.upsert(spark.read.parquet(f"{path}/v={batch_id - 1}"), new, key)
-        new.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+            new = spark.read.parquet(f"{path}/v={batch_id - 1}").unionByName(new)
+        tables.last_of_batch(new, key, "__order").write.mode("overwrite").parquet(f"{path}/v={batch_id}")
 
     return merge
