@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import extract, rewrite, similarity
 from quillon.operators import generate, index, learn, rank, retrieve, score, suggest, tables
+from quillon.operators.sized import small
 from quillon.plans import match
 from quillon.sources import readers
 from quillon.storage import shared_dir, stash
@@ -180,10 +181,10 @@ def region_vocabulary(spark, sf_dir):
 
 @query()
 def parse_fuzzy_parts(spark, sf_dir):
-    """Misspelt names against the vocabulary; edit ratios have no SQL."""
+    """Misspelt names against the vocabulary; the SQL is in :mod:`quillon.plans.catalogue_domain`."""
     vocab = F.array(*map(F.lit, ["WIDGET", "PLATE", "GIZMO", "ANVIL"]))
     bad = F.upper(F.concat(F.substring_index("p_name", " ", -1), F.lit("S")))
-    return table(spark, sf_dir, "part").select("p_partkey", extract.fuzzy_parts(bad, vocab).alias("parts"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(extract.fuzzy_parts(bad, vocab), "|").alias("parts"))
 
 
 @query("WITH " + STUDY_SQL + r"""
@@ -231,7 +232,7 @@ def levenshtein_norm(spark, sf_dir):
 
 @query()
 def fuzzy_ratio(spark, sf_dir):
-    """Edit and token-set ratios; SQL has neither."""
+    """Edit and token-set ratios; the SQL, with a recursive table, is in :mod:`quillon.plans.catalogue_domain`."""
     return neighbours(spark, sf_dir).select("k", similarity.ratio(F.col("x"), F.col("y")).alias("ratio"), similarity.fuzzy(F.col("x"), F.col("y")).alias("token_set"))
 
 
@@ -411,7 +412,7 @@ def char_ngram_tfidf(spark, sf_dir):
 
 
 @query("WITH " + _tfidf_sql("SELECT DISTINCT p_name || ' ' || lower(p_type) || ' ' || p_size AS t, t AS id FROM part", r"SELECT id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM (SELECT id, regexp_extract_all(t, '\b\w\w+\b') AS ws FROM d)") + """,
-    q AS (SELECT * FROM u WHERE id IN (SELECT p_name || ' ' || lower(p_type) || ' ' || min(p_size) FROM part GROUP BY p_name, p_type)),
+    q AS (SELECT * FROM u WHERE id IN (SELECT p_name || ' ' || lower(p_type) || ' ' || p_size FROM part WHERE p_partkey % 50 = 0)),
     s AS (SELECT a.id AS a, b.id AS b, round(sum(a.w * b.w), 6) AS sim FROM q a JOIN u b USING (term) GROUP BY a.id, b.id),
     r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM s) SELECT a, b, sim, rank FROM r WHERE rank <= 3""")
 def word_tfidf_cosine(spark, sf_dir):
@@ -419,7 +420,7 @@ def word_tfidf_cosine(spark, sf_dir):
     text = F.concat_ws(" ", "p_name", F.lower("p_type"), F.col("p_size").cast("string"))
     docs = part.select(text.alias("id")).distinct()
     w = stash(_tfidf(docs, index.word_grams(F.col("id"))))
-    asks = part.groupBy("p_name", "p_type").agg(F.min("p_size").alias("p_size")).select(text.alias("id"))
+    asks = part.filter("p_partkey % 50 = 0").select(text.alias("id")).distinct()
     sims = index.sparse_cosine(w.join(asks, "id", "left_semi").withColumnRenamed("id", "a"), w.withColumnRenamed("id", "b"), "a", "b").withColumn("sim", F.round("sim", 6))
     return index.top_k(sims, "a", [F.desc("sim"), F.asc("b")], 3).withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -460,7 +461,7 @@ def threshold_gate(spark, sf_dir):
 
 @query(JACCARD_SQL + " SELECT qid, code, rank FROM r WHERE rank <= 3 AND block = 'ECONOMY'")
 def postlimit_filter(spark, sf_dir):
-    rows = rank.ranked(jaccard_pairs(spark, sf_dir), 3, score="sim", tie="code").join(F.broadcast(catalog(spark, sf_dir).select("code", "block")), "code")
+    rows = rank.ranked(jaccard_pairs(spark, sf_dir), 3, score="sim", tie="code").join(small(catalog(spark, sf_dir).select("code", "block")), "code")
     return rank.only_modality(rows, "ECONOMY", "block").select("qid", "code", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -469,10 +470,10 @@ def narrow_catalog(spark, sf_dir):
     return rank.narrow(catalog(spark, sf_dir), "ECONOMY", "block").select("code", "description", "block")
 
 
-@query("""SELECT o_orderkey, coalesce(c_mktsegment, n_name) AS modality FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_nationkey < 12 LEFT JOIN nation ON n_nationkey = o_custkey % 25""")
+@query("""SELECT o_orderkey, coalesce(c_mktsegment, n_name) AS modality FROM orders LEFT JOIN (SELECT c_custkey, CASE WHEN c_nationkey < 12 THEN c_mktsegment END AS c_mktsegment FROM customer) ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = o_custkey % 25""")
 def first_known_modality(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("code"))
-    model = table(spark, sf_dir, "customer").filter("c_nationkey < 12").select(F.col("c_custkey").alias("code"), "c_mktsegment")
+    model = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"), F.when(F.col("c_nationkey") < 12, F.col("c_mktsegment")).alias("c_mktsegment"))
     fallback = orders.select("code").distinct().withColumn("n_nationkey", (F.col("code") % 25).cast("int")).join(table(spark, sf_dir, "nation"), "n_nationkey")
     return retrieve.first_known(orders, (model, "c_mktsegment"), (fallback, "n_name")).select("o_orderkey", "modality")
 
@@ -578,7 +579,8 @@ def upsert_merge(spark, sf_dir):
     SELECT count(*) FILTER (b.k NOT IN (SELECT k FROM o)) AS added, count(*) FILTER (b.k IN (SELECT k FROM o)) AS updated FROM b""")
 def bulk_dedupe(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("key", rewrite.mapping_key(F.col("p_name")))
-    return tables.upsert_counts(part.filter("p_size < 2"), part, "key")
+    old = part.withColumn("key", F.when(F.col("p_size") < 2, F.col("key")))  # other rows are not there yet
+    return tables.upsert_counts(old, part, "key")
 
 
 @query("""SELECT p_name AS name, p_type AS code FROM (SELECT DISTINCT p_name, p_type FROM part WHERE p_size < 20) UNION ALL
@@ -596,9 +598,9 @@ def catalog_upload(spark, sf_dir):
     return tables.upload(None, table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "p_partkey")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey AS code, coalesce(p_name, '') AS description FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 40) ON p_partkey = l_partkey")
+@query("SELECT l_orderkey, l_linenumber, l_partkey AS code, coalesce(p_name, '') AS description FROM lineitem LEFT JOIN part ON CASE WHEN p_size < 40 THEN p_partkey END = l_partkey")
 def mapping_listing(spark, sf_dir):
-    cat = table(spark, sf_dir, "part").filter("p_size < 40").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("description"))
+    cat = table(spark, sf_dir, "part").select(F.when(F.col("p_size") < 40, F.col("p_partkey")).alias("code"), F.col("p_name").alias("description"))
     return readers.mapping_listing(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("code")), cat)
 
 
@@ -662,7 +664,7 @@ def json_guard(spark, sf_dir):
     text = F.concat(F.lit("Sure: "), F.regexp_replace("props", '"k"', '"code"'), F.lit(" {or not}"))
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("qid"), suggest.read_answer(suggest.first_object(text)).alias("a"))
     rows = rows.select("qid", F.col("a.code").cast("bigint").alias("code"), F.col("a.confidence").alias("confidence"))
-    allowed = table(spark, sf_dir, "part").filter("p_size < 30").select(F.col("p_partkey").alias("code"))
+    allowed = table(spark, sf_dir, "part").select(F.when(F.col("p_size") < 30, F.col("p_partkey")).alias("code"))
     own = rows.select("qid", "code").join(allowed, "code", "left_semi")
     return suggest.guarded(rows, own).select(F.col("qid").alias("event_id"), "code", "confidence")
 
@@ -730,20 +732,27 @@ def pending_first_wins(spark, sf_dir):
 # --- end to end -----------------------------------------------------------------------
 
 
+BODIES, KINDS, SIDES = ("CHEST", "KNEE", "FOOT", "HEAD", "PELVIS", "HAND"), ("XR", "CT", "MR", "US"), ("N/A", "LEFT", "RIGHT")
+
+
 def matched(spark, sf_dir) -> DataFrame:
-    """Worded studies of all parts' sizes against a catalog in which sizes are views, with verified mappings."""
+    """Worded studies against a catalog of all parts: the queries are those whose id is divisible by 50.
+
+    A code is a study of a body part, with the part's size as views and its name behind; mappings verify every third code.
+    """
     part = table(spark, sf_dir, "part")
-    body = F.element_at(F.array(*map(F.lit, ["Chest", "Knee", "Foot", "Head", "Pelvis", "Hand"])), (F.col("p_size") % 6 + 1))
-    kind = F.element_at(F.array(*map(F.lit, ["XR", "CT", "MR", "US"])), (F.col("p_size") % 4 + 1))
-    side = F.element_at(F.array(*map(F.lit, ["N/A", "LEFT", "RIGHT"])), (F.col("p_size") % 3 + 1))
-    rows = part.groupBy("p_size").agg(F.min("p_partkey").alias("ix")).select(
-        "ix", F.col("ix").cast("string").alias("Code"), side.alias("Laterality"), F.lit("N/A").alias("Contrast"), (F.col("p_size") % 5).cast("string").alias("XR#Views"),
-        F.concat_ws(" ", kind, body, F.when(side != "N/A", F.initcap(side)), F.concat(F.col("p_size").cast("string"), F.lit(" Views"))).alias("description"),
-        kind.alias("modality"), F.upper(body).alias("bodyRegion"), F.lit(None).cast("string").alias("long_description"),
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_size") % len(values) + 1))
+    body, kind, side = pick(BODIES), pick(KINDS), pick(SIDES)
+    rows = part.select(
+        F.col("p_partkey").alias("ix"), F.col("p_partkey").cast("string").alias("Code"), side.alias("Laterality"), F.lit("N/A").alias("Contrast"), F.col("p_size").cast("string").alias("XR#Views"),
+        F.concat_ws(" ", kind, body, F.when(side != "N/A", side), F.concat(F.col("p_size").cast("string"), F.lit(" Views")), "p_name").alias("description"),
+        kind.alias("modality"), body.alias("bodyRegion"), F.lit(None).cast("string").alias("long_description"),
     )
     cat = stash(readers.enrich_catalog(rows))
-    maps = rows.select(F.lower("description").alias("query"), F.col("Code").alias("code"), "ix").withColumn("norm", rewrite.normalize(F.col("query")))
-    asks = part.groupBy("p_size", "p_type").agg(F.min("p_partkey").alias("qid")).select("qid", F.concat_ws(" ", F.lower(kind), body, F.when(F.col("p_type") == "LARGE", F.lower(side)), F.concat(F.col("p_size").cast("string"), F.lit("v"))).alias("query"))
+    maps = rows.filter("ix % 3 = 0").select(F.lower("description").alias("query"), F.col("Code").alias("code"), "ix").withColumn("norm", rewrite.normalize(F.col("query")))
+    text = F.concat_ws(" ", F.lower(kind), body, F.when(side != "N/A", F.lower(side)), F.concat(F.col("p_size").cast("string"), F.lit(" views")), "p_name")
+    other = F.concat_ws(" ", F.lower(kind), body, F.concat(F.col("p_size").cast("string"), F.lit("v")), F.substring_index("p_name", " ", -1))
+    asks = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qid"), F.when(F.col("p_partkey") % 100 == 0, text).otherwise(other).alias("query"))
     return match.Matcher(cat, stash(maps)).match(asks, 5)
 
 

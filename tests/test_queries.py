@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quillon.plans import catalogue
+from quillon.plans import catalogue, catalogue_domain  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
