@@ -3,6 +3,13 @@
 Each stage takes ``(spark, docs, sf_dir)`` and gives a DataFrame, which is written
 as Parquet and read again as the next one's ``docs``.  All stages but the last give
 the columns of ``documents``.
+
+Cases.  A text that is null, empty or without letters goes in the first stage, with its row.
+A null id is an id of its own: it loses against others in exact dedup, and such a document
+is not compared for near copies.  Rows that repeat an id and a text are one document after
+exact dedup.  A null source is the last one in mixing.  Long texts are read whole.  Other
+columns are carried through, whatever their names.  Ties go to the smallest id.  An empty
+table gives no pieces.
 """
 
 from __future__ import annotations

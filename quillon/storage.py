@@ -17,6 +17,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+#: Folders that go when the driver ends.
+_LEFT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,12 +42,17 @@ def stash(df: DataFrame, *by: str, to: DataFrame | None = None) -> DataFrame:
 
     With ``by`` the files are split by those columns, so that a filter on them reads
     only its own; with ``to``, a frame that this function made, the rows are appended to it.
-    The folder belongs to one application and is removed by :func:`discard`, or
-    with the shared folder itself.
+    The folder belongs to one application; its tables are removed by :func:`discard`, and
+    what is left when the driver ends.
     """
     spark = df.sparkSession
-    path = to._stash_path if to is not None else f"{shared_dir(spark)}/stash/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stash/{spark.sparkContext.applicationId}"
+    path = to._stash_path if to is not None else f"{base}/{uuid.uuid4().hex}"
     df.write.mode("append").partitionBy(*by).parquet(path)
+    if base not in _LEFT:
+        _LEFT.add(base)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
