@@ -17,6 +17,8 @@ Cases.  A null text counts as empty; it is scored by its style alone.  Labels of
 documents that don't exist, null labels and labels that repeat an id with another value
 (the largest counts) do no harm.  A category without both classes in training gets its
 rate as everyone's probability, 0 without any labels.  Repeated rows get equal answers.
+A probability equal to the threshold counts as toxic; strings of equal evidence are chosen
+by code point.  Long texts are read whole, each as one Python string.
 An empty table gives an empty result.  Other columns are kept.
 """
 

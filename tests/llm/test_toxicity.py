@@ -64,3 +64,45 @@ def test_clashing_names(spark, corpus):
     chain = toxicity.train(docs, labels)
     out = toxicity.score(docs.selectExpr("*", "'x' AS p_toxic", "'y' AS marks").limit(5), chain)
     assert out.columns == ["doc_id", "text", "marks", "p_low_quality", "p_toxic"] and out.schema["p_toxic"].dataType.typeName() == "double"
+
+
+def slow_predict(chain, text):
+    """The chain by loops: one string, one weight, one category at a time."""
+    line, earlier = toxicity.clean(text), []
+    found = [1.0 if s in line else 0.0 for s in chain.strings] + [float(np.float32(v)) for v in toxicity.style(text)]
+    for columns, weights in zip(chain.columns, chain.weights):
+        z = weights[-1]
+        for value, w in zip([found[c] for c in columns] + earlier, weights):
+            z += value * w
+        earlier.append(1 / (1 + np.exp(-min(35, max(-35, z)))))
+    return earlier
+
+
+def test_scores_are_brute_force(spark):
+    rng = np.random.default_rng(4)
+    words = {0: ["calm", "river", "garden", "letter"], 1: ["vile", "scum", "hateful", "curse"]}
+    texts = [" ".join(rng.choice(words[int(i % 4 == 0)] + ["the", "and"], 12)) for i in range(200)] + [None, "", "VILE  scum", "x" * 30_000 + " vile"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 4 == 0)) for i in range(160)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels)
+    got = {r.doc_id: (r.p_low_quality, r.p_toxic) for r in toxicity.score(docs, chain).collect()}
+    assert all(got[i] == pytest.approx(slow_predict(chain, text), abs=1e-6) for i, text in enumerate(texts))
+    told = {r.doc_id: r.toxic for r in toxicity.detect(docs, labels).collect()}
+    assert all(told[i] == (i % 4 == 0) for i in range(200)) and told[202]
+
+
+def test_later_models_see_out_of_fold_probabilities():
+    """Training by loops over folds gives the same weights."""
+    rng = np.random.default_rng(5)
+    chain = toxicity.Chain(toxicity.CATEGORIES, [["aaaa"], ["bbbb"]])
+    x = np.hstack([rng.integers(0, 2, (80, 2)), rng.random((80, len(toxicity.STYLE)))]).astype(float)
+    y = np.stack([(x[:, 0] + rng.random(80) > 1), (x[:, 1] + rng.random(80) > 0.9)], axis=1).astype(float)
+    fold = np.arange(80) % toxicity.FOLDS
+    chain.train(x, y, fold)
+    first = x[:, chain.columns[0]]
+    unseen = np.zeros(80)
+    for row in range(80):
+        w = toxicity.fit(first[fold != fold[row]], y[fold != fold[row], 0])
+        unseen[row] = 1 / (1 + np.exp(-(first[row] @ w[:-1] + w[-1])))
+    want = toxicity.fit(np.hstack([x[:, chain.columns[1]], unseen[:, None]]), y[:, 1])
+    assert chain.weights[1] == pytest.approx(want, abs=1e-8)
