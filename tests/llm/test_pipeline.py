@@ -33,6 +33,16 @@ def test_stages_on_planted_cases(spark, docs):
     assert ids(five) == ids(four)
 
 
+def test_nothing_nulls_and_other_columns(spark, docs):
+    """Each stage gives the columns that it got (the last its pieces), also of nothing and of rows of nulls."""
+    odd = docs((None, None, None, None, None), (1, "the with other", None, "s", 14), (1, "the with other", None, "s", 14)).selectExpr("*", "1 AS key", "'x' AS component", "2 AS size")
+    for table in (odd.limit(0), odd):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, "")
+            assert out.columns == table.columns or name == "packing"
+            assert out.count() <= 3 * table.count()
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
