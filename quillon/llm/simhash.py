@@ -58,23 +58,25 @@ TREE, SHARD, PIECE = 2048, 64, 1 << 15
 ENTRY, SLICE_BYTES, SLICES = 25, 32 << 20, 64
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """The unsigned fingerprint of one text (A-Z lower-cased, split at ASCII white space)."""
+def shingle_spans(text: str | None, words: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """The words of a text (A-Z lower-cased, split at ASCII white space) with single spaces, and where its shingles are."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
-    line = b" ".join(parts)
+        return b"", []
     sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes).tolist()
-    ends = ends.tolist()
     k = min(words, len(parts))
-    n = len(parts) - k + 1
+    return b" ".join(parts), list(zip((ends - sizes)[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist()))
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """The unsigned fingerprint of one text."""
+    line, spans = shingle_spans(text, words)
     ones, digest = np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, PIECE):
-        some = [digest(line[a:b], seed) for a, b in zip(starts[at : min(at + PIECE, n)], ends[at + k - 1 : at + k - 1 + PIECE])]
+    for at in range(0, len(spans), PIECE):
+        some = [digest(line[a:b], seed) for a, b in spans[at : at + PIECE]]
         ones += np.unpackbits(np.array(some, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(spans), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:

@@ -25,6 +25,7 @@ pieces of bounded size.  A pair at the threshold links.  An empty table gives an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from math import acos, ceil, pi, sqrt
 
 import numpy as np
@@ -34,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
-from quillon.llm.simhash import SEED, TREE, BKTree, Forest, _runs_of
+from quillon.llm.simhash import SEED, TREE, BKTree, Forest, _runs_of, shingle_spans
 from quillon.llm.workers import small_batches
 from quillon.storage import discard, stash
 
-BITS, BANDS, ROWS, PIECE = 256, 40, 5, 2048
+BITS, BANDS, ROWS, PIECE, STRIP = 256, 40, 5, 2048, 128
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,9 +51,9 @@ def radius_of(similarity: float) -> int:
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted hashes of the set of shingles (A-Z lower-cased, split at ASCII white space)."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = max(1, len(parts) - words + 1) if parts else 0
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), SEED) for i in range(n)], dtype=np.uint64))
+    line, spans = shingle_spans(text, words)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b], SEED) for a, b in spans], dtype=np.uint64))
 
 
 def whole(some: np.ndarray) -> int:
@@ -72,13 +73,21 @@ def fingerprint(some: np.ndarray) -> bytes:
     return np.packbits(ones * 2 > len(some), bitorder="little").tobytes()
 
 
+@cache
+def _draws() -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of the minimum hashes."""
+    a, b = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+    return a | np.uint64(1), b
+
+
 def keys(some: np.ndarray) -> np.ndarray:
     """A key for each band, as signed longs."""
-    draw = np.random.default_rng(SEED)
-    a, b = draw.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+    a, b = _draws()
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(some), PIECE):
-        least = np.minimum(least, (some[at : at + PIECE, None] * (a | np.uint64(1)) + b).min(axis=0))
+    for at in range(0, len(some), STRIP):  # a strip of products stays in a core's cache
+        products = some[at : at + STRIP, None] * a
+        products += b
+        np.minimum(least, products.min(axis=0), out=least)
     key = np.zeros(BANDS, dtype=np.uint64)
     for row in least.reshape(BANDS, ROWS).T:
         key = (key ^ row) * _MIX
