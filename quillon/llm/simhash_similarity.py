@@ -5,8 +5,10 @@ Documents link where their sets of word shingles have a Jaccard similarity of at
 ``BITS`` bits; its shards are ``BANDS`` keys of ``ROWS`` minimum hashes each, as ranges of bits
 cannot serve a radius this wide.  In a shard a BK-tree holds the fingerprints, a lookup
 follows only edges within the radius, and what it finds is confirmed by the exact similarity.
-First a spanning forest of each shard's candidates is confirmed; then lookups meet only nodes
-whose components are still different, so that pairs inside a group are not written out.
+That goes in rounds, nearest first: each node tries the ``FIRST`` nearest of its lookup, in the
+next round twice as many more, and so on, but only those whose component is still another
+one, so that pairs inside a group are not written out.  Rounds end when no lookup has
+anything left in another component.
 
 What can be missed: a pair at 0.8 shares no shard with a chance of about one in seven million,
 and its fingerprints differ in more than the radius (five standard deviations above the mean
@@ -14,8 +16,8 @@ for sets of equal size) with one of about one in a million, for sets of four and
 about one in a thousand.
 
 Scale.  Twenty-four bytes and the fingerprint shuffle for each band.  A shard beyond ``TREE``
-nodes is cut into trees that meet in pairs.  Nodes of one shard that are near but do not link
-cost the square of their number.
+nodes is cut into trees that meet in pairs.  A node that is near many but links with none of
+them is compared with all of them; so many such nodes in one shard cost the square of their number.
 
 Cases.  Texts without words are equal; a text of fewer words is one shingle.  Documents
 without an id have no component.  Repeated rows are one node.  Long texts are read whole, in
@@ -35,11 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
-from quillon.llm.simhash import SEED, TREE, BKTree, Forest, _runs_of, shingle_spans
+from quillon.llm.simhash import SEED, TREE, BKTree, _runs_of, shingle_spans
 from quillon.llm.workers import small_batches
 from quillon.storage import discard, stash
 
 BITS, BANDS, ROWS, PIECE, STRIP = 256, 40, 5, 2048, 128
+#: Candidates that a node tries in the first round.
+FIRST = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,56 +98,53 @@ def keys(some: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _confirmed(docs: DataFrame, marked: DataFrame, pairs: DataFrame, id: str, text: str, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough."""
+def _sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, id: str, text: str, words: int) -> DataFrame:
+    """``node`` and its shingles, for the nodes of ``wanted``; one document of each node is read again."""
 
     @F.pandas_udf("node long, shingles array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(t, words) for t in texts]
         return pd.DataFrame({"node": np.array([whole(s) for s in sets], dtype=np.uint64).view(np.int64), "shingles": [s.view(np.int64) for s in sets]})
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = marked.join(ends, "node").groupBy("node").agg(F.min("id").alias("__id")).select("__id").distinct()
+    ids = marked.join(wanted.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("__id")).select("__id").distinct()
     sets = docs.join(ids, docs[id] == F.col("__id")).select(of(F.col(text)).alias("s")).select("s.*").dropDuplicates(["node"])
-    sets = stash(sets)
+    return stash(sets)
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough."""
     one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     met = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    out = stash(met.filter(F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both")) - 1e-9).select("a", "b"))
-    discard(sets)
-    return out
+    return stash(met.filter(F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both")) - 1e-9).select("a", "b"))
 
 
-def _look_up(radius: int):
-    """Rows of a unit, one or two parts of a shard, to candidates between its components, by its BK-tree.
+def _look_up(radius: int, similarity: float, skip: int, most: int):
+    """Rows of a unit, one or two parts of a shard, to candidates (a, b) between its components.
 
-    Where all components are null (nothing is known yet) a spanning forest of the candidates.
+    Of what a node's lookup in the BK-tree finds, nearest first, the next ``most`` after ``skip``;
+    where more are left in another component, the row (node, node) says so.
     """
 
     def unit(groups: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for group in groups:
-            own = (group["c"] == group["i"]).to_numpy()
-            alone = group["i"].iat[0] == group["j"].iat[0]
-            values = [int.from_bytes(f, "little") for f in group["fp"]]
-            nodes, kinds = group["node"].tolist(), group["component"].tolist()
-            known = not group["component"].isna().all()
-            if len(values) < 2 or known and len(set(kinds)) < 2:
+            own, alone = (group["c"] == group["i"]).to_numpy(), group["i"].iat[0] == group["j"].iat[0]
+            kinds = group["component"].tolist()
+            if len(set(kinds)) < 2:
                 continue
-            tree, places, found = BKTree(), [], Forest()
-            for place in [*np.flatnonzero(own), *np.flatnonzero(~own)]:
-                if alone or not own[place]:
-                    for other in tree.within(values[place], radius):
-                        a, b = int(place), places[other]
-                        if not known:
-                            found.meet(nodes[a], nodes[b])
-                        elif kinds[a] != kinds[b]:
-                            out.append((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
-                if own[place]:
-                    tree.add(values[place])
-                    places.append(int(place))
-            out += [(min(p), max(p)) for p in found.told()]
+            values, nodes, sizes = [int.from_bytes(f, "little") for f in group["fp"]], group["node"].tolist(), group["n"].tolist()
+            tree, places = BKTree(), np.flatnonzero(own).tolist()
+            for place in places:
+                tree.add(values[place])
+            for asks in range(len(values)) if alone else np.flatnonzero(~own).tolist():
+                value, n = values[asks], sizes[asks]
+                near = [places[at] for at in tree.within(value, radius)]
+                near = sorted(((value ^ values[o]).bit_count(), nodes[o], o) for o in near if o != asks and min(n, sizes[o]) >= similarity * max(n, sizes[o]) - 1e-9)
+                out += [(min(nodes[asks], node), max(nodes[asks], node)) for _, node, o in near[skip : skip + most] if kinds[o] != kinds[asks]]
+                if any(kinds[o] != kinds[asks] for _, _, o in near[skip + most :]):
+                    out.append((nodes[asks], nodes[asks]))
         if out:
-            yield pd.DataFrame(out, columns=["a", "b"])
+            yield pd.DataFrame(out, columns=["a", "b"]).drop_duplicates()
 
     return unit
 
@@ -154,33 +155,44 @@ def members(docs: DataFrame, id: str, text: str, words: int, similarity: float)
     small_batches(spark)
     n, radius = int(spark.conf.get("spark.sql.shuffle.partitions")), radius_of(similarity)
 
-    @F.pandas_udf("node long, keys array<long>, fp binary")
+    @F.pandas_udf("node long, n int, keys array<long>, fp binary")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(t, words) for t in texts]
-        return pd.DataFrame({"node": np.array([whole(s) for s in sets], dtype=np.uint64).view(np.int64), "keys": [keys(s) for s in sets], "fp": [fingerprint(s) for s in sets]})
+        node = np.array([whole(s) for s in sets], dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({"node": node, "n": [len(s) for s in sets], "keys": [keys(s) for s in sets], "fp": [fingerprint(s) for s in sets]})
 
     marked = stash(docs.filter(F.col(id).isNotNull()).select(F.col(id).alias("id"), of(F.col(text)).alias("s")).select("id", "s.*"))
-    nodes = stash(marked.groupBy("node").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp")))
+    nodes = stash(marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "keys", "fp")]))
     filed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    sizes = filed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    cut = F.ceil(F.col("n") / TREE).cast("int")
-    met = stash(filed.join(sizes.repartition(n), ["band", "key"]).withColumn("parts", cut).withColumn("c", F.pmod(F.hash("node"), "parts")).drop("n"))
-    with_fp = nodes.select("node", "fp")
+    sizes = filed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("in_shard")).filter("in_shard > 1")
+    cut = F.ceil(F.col("in_shard") / TREE).cast("int")
+    met = stash(filed.join(sizes.repartition(n), ["band", "key"]).withColumn("parts", cut).withColumn("c", F.pmod(F.hash("node"), "parts")).drop("in_shard"))
+    with_fp, sets = nodes.select("node", "n", "fp"), _sets(docs, marked, met, id, text, words)
 
-    def candidates(rows: DataFrame) -> DataFrame:
+    def candidates(rows: DataFrame, skip: int, most: int) -> DataFrame:
         pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))
-        units = rows.join(with_fp, "node").select("band", "key", "node", "fp", "component", "c", F.explode(pair).alias("p"))
-        units = units.select("band", "key", "node", "fp", "component", "c", "p.i", "p.j").repartition(n, "band", "key", "i", "j")
-        units = units.sortWithinPartitions("band", "key", "i", "j", "node")
-        return units.mapInPandas(_runs_of(["band", "key", "i", "j"], _look_up(radius)), "a long, b long").distinct()
-
-    first = stash(candidates(met.withColumn("component", F.lit(None).cast("long"))))
-    links = _confirmed(docs, marked, first, id, text, words, similarity)
-    found = stash(components(links))
-    told = stash(met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    open_ = told.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band", "key")
-    left = stash(candidates(told.join(open_.repartition(n), ["band", "key"])).join(first, ["a", "b"], "left_anti"))
-    found = components(links.unionByName(_confirmed(docs, marked, left, id, text, words, similarity)))
+        kept = ["band", "key", "node", "n", "fp", "component", "c"]
+        units = rows.join(with_fp, "node").select(*kept, F.explode(pair).alias("p")).select(*kept, "p.i", "p.j")
+        units = units.repartition(n, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "node")
+        return units.mapInPandas(_runs_of(["band", "key", "i", "j"], _look_up(radius, similarity, skip, most)), "a long, b long").distinct()
+
+    skip, most, links, told = 0, FIRST, None, met.withColumn("component", F.col("node"))
+    tested, found = None, None
+    while True:
+        pairs = stash(candidates(told, skip, most))
+        fresh = pairs.filter("a < b") if tested is None else pairs.filter("a < b").join(tested, ["a", "b"], "left_anti")
+        right = _confirmed(sets, fresh, similarity)
+        links = right if links is None else stash(right, to=links)
+        tested = stash(fresh, to=tested)
+        found = stash(components(links))
+        if pairs.filter("a = b").isEmpty():
+            break
+        discard(pairs)
+        skip, most = skip + most, 2 * most
+        now = stash(met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        open_ = now.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band", "key")
+        told = stash(now.join(open_.repartition(n), ["band", "key"]))
+        discard(now)
     named = stash(marked.select("id", "node").join(found, "node", "left").select("id", F.coalesce("component", "node").alias("component")))
-    discard(nodes, met, first, told, left)
+    discard(nodes, met, sets, links, tested)
     return named

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from quillon.llm import simhash, simhash_similarity
 
 
 def sets(text):
@@ -46,3 +47,19 @@ def test_null_ids_and_nothing(spark, docs):
     df = docs((None, "a b", None, None, None), (1, "a b", None, None, None), (2, "a b", None, None, None))
     assert sorted((r.doc_id for r in stage(spark, df, "").collect()), key=str) == [1, None]
     assert stage(spark, df.limit(0), "").count() == 0
+
+
+def test_a_group_whose_members_mostly_do_not_link(spark, docs, monkeypatch):
+    """Edits of one text that are near each other: some link through a chain, some with none; also with shards cut into trees."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(60):
+        other = list(base)
+        for at in rng.sample(range(200), 1 + k % 9):
+            other[at] = f"x{k}y{at}"
+        texts.append(" ".join(other))
+    for tree in (2048, 16):
+        monkeypatch.setattr(simhash_similarity, "TREE", tree)
+        got = sorted(r.doc_id for r in simhash.keep_one(docs(*texts)).select("doc_id").collect())
+        assert got == brute(texts) and 1 < len(got) < 50
