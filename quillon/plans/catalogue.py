@@ -736,15 +736,15 @@ BODIES, KINDS, SIDES = ("CHEST", "KNEE", "FOOT", "HEAD", "PELVIS", "HAND"), ("XR
 
 
 def matched(spark, sf_dir) -> DataFrame:
-    """Worded studies against a catalog of all parts: the queries are those whose id is divisible by 50.
+    """Worded studies against a catalog with a code for each description that parts have: the queries are parts whose id is divisible by 50.
 
-    A code is a study of a body part, with the part's size as views and its name behind; mappings verify every third code.
+    A description is a study of a body part, with the part's size as views and its name behind; mappings verify every third code.
     """
     part = table(spark, sf_dir, "part")
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_size") % len(values) + 1))
     body, kind, side = pick(BODIES), pick(KINDS), pick(SIDES)
-    rows = part.select(
-        F.col("p_partkey").alias("ix"), F.col("p_partkey").cast("string").alias("Code"), side.alias("Laterality"), F.lit("N/A").alias("Contrast"), F.col("p_size").cast("string").alias("XR#Views"),
+    rows = part.groupBy("p_size", "p_name").agg(F.min("p_partkey").alias("ix")).select(
+        "ix", F.col("ix").cast("string").alias("Code"), side.alias("Laterality"), F.lit("N/A").alias("Contrast"), F.col("p_size").cast("string").alias("XR#Views"),
         F.concat_ws(" ", kind, body, F.when(side != "N/A", side), F.concat(F.col("p_size").cast("string"), F.lit(" Views")), "p_name").alias("description"),
         kind.alias("modality"), body.alias("bodyRegion"), F.lit(None).cast("string").alias("long_description"),
     )
