@@ -101,9 +101,9 @@ def build_level(keys: DataFrame, number: int, n: int, against: int) -> Level:
     """Set the bits of ``n`` keys (column ``key``); the words are one row in the shared folder."""
     hashes, bits = _shape(n, against)
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), number, hashes, bits))).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b"))
+    set_ = at.select(F.shiftright("at", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("b"))
     every = keys.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("b"))
-    words = words.unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
+    words = set_.unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
     row = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words"))
     return Level(number, hashes, bits, stash(row))
 
@@ -111,10 +111,11 @@ def build_level(keys: DataFrame, number: int, n: int, against: int) -> Level:
 class Cascade:
     """Exact membership in ``listed`` for every key of ``universe`` (both with a column ``key``; keys of both count once)."""
 
-    def __init__(self, listed: DataFrame, universe: DataFrame):
+    def __init__(self, listed: DataFrame, universe: DataFrame, others: int | None = None):
+        """``others``: rows of ``universe``, if known."""
         self.levels: list[Level] = []
         encode = inside = listed.distinct()
-        n, others = inside.count(), universe.count()
+        n, others = inside.count(), universe.count() if others is None else others
         against = universe
         while n:
             level = build_level(encode, len(self.levels), n, others)
@@ -154,15 +155,16 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", default: st
     parts = pages.select(*[pages[f"`{c}`"] for c in pages.columns if c not in ("host", "path", "rule", "verdict")], host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
     if not rules:
         return parts.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    listed = stash(spark.createDataFrame(list(verdicts.items()), "key string, verdict string"))
+    listed = stash(spark.createDataFrame(list(verdicts.items()), "key string, verdict string").coalesce(1))
     block = listed.filter("verdict = 'block'").select("key")
     candidates = _candidates(F.col("host"), F.col("path"), shapes)
     keys = F.array_distinct(F.array_compact(F.array(*candidates)))
     universe = stash(parts.select(F.explode(keys).alias("key")).distinct())
-    if max(_shape(len(verdicts), universe.count())[1], _shape(len(verdicts), len(verdicts))[1]) > LEVEL_BITS:
+    size = universe.count()
+    if max(_shape(len(verdicts), size)[1], _shape(len(verdicts), len(verdicts))[1]) > LEVEL_BITS:
         found = _by_join(parts, keys, listed).join(listed.select(F.col("key").alias("rule"), F.col("verdict").alias("__v")), "rule", "left")
         return found.select(*parts.columns, "rule", F.coalesce("__v", F.lit(default)).alias("verdict"))
-    rule_keys, blocks = Cascade(listed.select("key"), universe), Cascade(block, listed.select("key"))
+    rule_keys, blocks = Cascade(listed.select("key"), universe, size), Cascade(block, listed.select("key"), len(verdicts))
     found = [F.when(k.isNotNull() & rule_keys.holds(k), F.struct(F.length(k).alias("n"), k.alias("key"))) for k in candidates]
     rule = F.greatest(*found, F.lit(None).cast("struct<n:int,key:string>"))["key"]
     verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(blocks.holds(F.col("rule")), "block").otherwise("allow")
