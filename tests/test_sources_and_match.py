@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import index, learn
 from quillon.plans import training
-from quillon.plans.match import Matcher, hinted, responses
+from quillon.plans.match import Matcher, hinted, legacy_match, legacy_pairs, responses
 from quillon.sources import readers
 from quillon.streaming import feedback
 
@@ -150,3 +150,51 @@ def test_index(spark):
     sims = {(r.a, r.b): r.sim for r in index.sparse_cosine(w.withColumnRenamed("id", "a"), w.withColumnRenamed("id", "b"), "a", "b").collect()}
     assert sims["a", "a"] == pytest.approx(1) and 0 < sims["a", "b"] < 1 and ("c", "c") not in sims
     assert index.same_vocabulary(w.select("term").distinct(), w.select("term").distinct()) and not index.same_vocabulary(w.filter("id = 'a'"), w)
+
+
+def test_late_batches_do_not_displace_newer_rows(spark, tmp_path, rows):
+    frame = lambda data: spark.createDataFrame(data, "k string, at int, v string")
+    merge = feedback.latest_merger(spark, str(tmp_path / "s"), "k", "at")
+    batches = ([("a", 5, "new"), ("b", 1, "old")], [("a", 3, "late"), ("b", 2, "newer"), ("c", 1, "c")], [("c", 1, "again")])
+    want = ([("a", "new"), ("b", "old")], [("a", "new"), ("b", "newer"), ("c", "c")], [("a", "new"), ("b", "newer"), ("c", "again")])
+    for i, (batch, state) in enumerate(zip(batches, want)):
+        for _ in range(2):  # a repeated batch changes nothing
+            merge(frame(batch), i)
+        assert rows(spark.read.parquet(f"{tmp_path}/s/v={i}").select("k", "v")) == state
+
+
+def test_saved_and_refreshed_matcher(spark, matcher, tmp_path, rows):
+    asks = spark.createDataFrame([(1, "head ct without contrast"), (2, "xr lt knee"), (3, "leg film")], "qid int, query string")
+    told = lambda m: rows(m.match(asks, 2).select("qid", "rank", "code", "score", "is_exact"))
+    matcher.save(str(tmp_path / "m"))
+    again = Matcher.load(spark, str(tmp_path / "m"))
+    assert told(again) == told(matcher)
+    batch = spark.createDataFrame([(99, "leg film", "C4", None, "LEG FILM")], matcher.mappings.select("ix", "query", "code", "note", "norm").schema)
+    every = matcher.mappings.select(*batch.columns).unionByName(batch)
+    fresh, full = again.refreshed(batch, every), Matcher(matcher.catalog, every)
+    for name in ("aliases", "counts", "exact"):
+        assert rows(getattr(fresh, name)) == rows(getattr(full, name).select(*getattr(fresh, name).columns))
+    assert rows(fresh.texts.select("code", "text")) == rows(full.texts.select("code", "text"))
+    assert [r[2] for r in told(fresh) if r[0] == 3 and r[4]] == ["C4"]
+
+
+def test_tree_ranker(spark, tmp_path):
+    data = [(q, c, int(c == q % 5), float((c - q) % 5), float((7 * c + q) % 3)) for q in range(40) for c in range(5)]
+    train = spark.createDataFrame(data, "qid int, code int, label int, f_a double, f_b double")
+    ranker = learn.fit_tree_ranker(train, ["f_a", "f_b"], rounds=3, depth=2)
+    first = lambda r: training.rank.ranked(r.score(train), 1, score="raw", tie="code").filter("label = 1").count()
+    assert first(ranker) == 40
+    ranker.save(spark, str(tmp_path / "t"))
+    assert first(learn.TreeRanker.load(spark, str(tmp_path / "t"))) == 40
+    sizes = learn.group_sizes(train)
+    assert sizes.filter("rows = 5 AND positives = 1").count() == 40
+
+
+def test_legacy_match(spark, matcher):
+    asks = spark.createDataFrame([(1, "ct head wo contrast", "C1"), (2, "ct head w contrast", "C2"), (3, "xr knee lt 2v", "C3"), (4, "xr knee rt 2v", "C4"), (5, "us pelvis", "C5")], "qid int, query string, gold string")
+    pairs = legacy_pairs(matcher, matcher.parsed(asks)).withColumn("label", (F.col("code") == F.col("gold")).cast("int"))
+    names = [c for c in pairs.columns if c.startswith("l_")]
+    assert len(names) == 19
+    forest = learn.fit_forest(pairs.select("label", *names), names, trees=5, depth=4)
+    top = legacy_match(matcher, asks, forest, 1).collect()
+    assert {r.qid: r.code for r in top} == {1: "C1", 2: "C2", 3: "C3", 4: "C4", 5: "C5"} and all(r.method == "ML_MATCH" for r in top)
