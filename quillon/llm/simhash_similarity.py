@@ -6,7 +6,7 @@ Documents link where their sets of word shingles have a Jaccard similarity of at
 cannot serve a radius this wide.  In a shard a BK-tree holds the fingerprints, a lookup
 follows only edges within the radius, and what it finds is confirmed by the exact similarity.
 That goes in rounds, nearest first: each node tries the ``FIRST`` nearest of its lookup, in the
-next round twice as many more, and so on, but only those whose component is still another
+next round ``MORE`` times as many more, and so on, but only those whose component is still another
 one, so that pairs inside a group are not written out.  Rounds end when no lookup has
 anything left in another component.
 
@@ -42,8 +42,8 @@ from quillon.llm.workers import small_batches
 from quillon.storage import discard, stash
 
 BITS, BANDS, ROWS, PIECE, STRIP = 256, 40, 5, 2048, 128
-#: Candidates that a node tries in the first round.
-FIRST = 2
+#: Candidates that a node tries in the first round, and how many times as many in each further one.
+FIRST, MORE = 4, 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -188,7 +188,7 @@ def members(docs: DataFrame, id: str, text: str, words: int, similarity: float)
         if pairs.filter("a = b").isEmpty():
             break
         discard(pairs)
-        skip, most = skip + most, 2 * most
+        skip, most = skip + most, MORE * most
         now = stash(met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
         open_ = now.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band", "key")
         told = stash(now.join(open_.repartition(n), ["band", "key"]))
