@@ -5,10 +5,10 @@ Documents link where their sets of word shingles have a Jaccard similarity of at
 ``BITS`` bits; its shards are ``BANDS`` keys of ``ROWS`` minimum hashes each, as ranges of bits
 cannot serve a radius this wide.  In a shard a BK-tree holds the fingerprints, a lookup
 follows only edges within the radius, and what it finds is confirmed by the exact similarity.
-That goes in rounds, nearest first: each node tries the ``FIRST`` nearest of its lookup, in the
-next round ``MORE`` times as many more, and so on, but only those whose component is still another
-one, so that pairs inside a group are not written out.  Rounds end when no lookup has
-anything left in another component.
+That goes in three rounds, nearest first: each node tries the nearest of its lookup, then
+some more, then all that are left (``ROUNDS``), but only those whose component is still
+another one, so that pairs inside a group are not written out.  Rounds end when no lookup
+has anything left in another component.
 
 What can be missed: a pair at 0.8 shares no shard with a chance of about one in seven million,
 and its fingerprints differ in more than the radius (five standard deviations above the mean
@@ -42,8 +42,8 @@ from quillon.llm.workers import small_batches
 from quillon.storage import discard, stash
 
 BITS, BANDS, ROWS, PIECE, STRIP = 256, 40, 5, 2048, 128
-#: Candidates that a node tries in the first round, and how many times as many in each further one.
-FIRST, MORE = 4, 4
+#: Candidates that a node tries in each round; the last one takes all that are left.
+ROUNDS = (4, 32, 1 << 40)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -176,9 +176,9 @@ def members(docs: DataFrame, id: str, text: str, words: int, similarity: float)
         units = units.repartition(n, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "node")
         return units.mapInPandas(_runs_of(["band", "key", "i", "j"], _look_up(radius, similarity, skip, most)), "a long, b long").distinct()
 
-    skip, most, links, told = 0, FIRST, None, met.withColumn("component", F.col("node"))
+    skip, links, told = 0, None, met.withColumn("component", F.col("node"))
     tested, found = None, None
-    while True:
+    for most in ROUNDS:
         pairs = stash(candidates(told, skip, most))
         fresh = pairs.filter("a < b") if tested is None else pairs.filter("a < b").join(tested, ["a", "b"], "left_anti")
         right = _confirmed(sets, fresh, similarity)
@@ -188,7 +188,7 @@ def members(docs: DataFrame, id: str, text: str, words: int, similarity: float)
         if pairs.filter("a = b").isEmpty():
             break
         discard(pairs)
-        skip, most = skip + most, MORE * most
+        skip += most
         now = stash(met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
         open_ = now.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band", "key")
         told = stash(now.join(open_.repartition(n), ["band", "key"]))
