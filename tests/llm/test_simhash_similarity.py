@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from quillon.llm import simhash, simhash_similarity
 
@@ -63,3 +65,34 @@ def test_a_group_whose_members_mostly_do_not_link(spark, docs, monkeypatch):
         monkeypatch.setattr(simhash_similarity, "TREE", tree)
         got = sorted(r.doc_id for r in simhash.keep_one(docs(*texts)).select("doc_id").collect())
         assert got == brute(texts) and 1 < len(got) < 50
+
+
+def test_candidates_of_a_group_do_not_grow_with_its_square(spark, docs, monkeypatch):
+    """Near texts that do not link are not all joined with each other; no link is lost."""
+    rng, tried, confirmed = random.Random(8), [], simhash_similarity._confirmed
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(120):
+        other = list(base)
+        for at in rng.sample(range(150), 1 + k % 5):
+            other[at] = f"x{k}y{at}"
+        texts.append(" ".join(other))
+
+    def counted(sets, pairs, similarity):
+        tried.append(pairs.count())
+        return confirmed(sets, pairs, similarity)
+
+    monkeypatch.setattr(simhash_similarity, "_confirmed", counted)
+    got = sorted(r.doc_id for r in simhash.keep_one(docs(*texts)).select("doc_id").collect())
+    assert got == brute(texts) and 20 < len(got) < 100
+    assert sum(tried) < 6 * len(texts)
+
+
+def test_a_sketch_never_hides_a_link():
+    rng = random.Random(9)
+    for size in (1, 4, 80, 5000, 70000):
+        a = np.unique(np.array([rng.getrandbits(64) for _ in range(size)], dtype="uint64"))
+        b = np.unique(np.concatenate([a[: size - size // 10], np.array([rng.getrandbits(64) for _ in range(size // 10)], dtype="uint64")]))
+        cells = [np.frombuffer(simhash_similarity.sketch(x), dtype="uint8") for x in (a, b)]
+        n = np.array([len(a), len(b)])
+        assert simhash_similarity._can_link(cells, n, 0, np.array([1]), 0.8).all()
