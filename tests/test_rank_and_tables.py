@@ -135,3 +135,24 @@ def test_learning(spark):
     assert 0 <= conf[0] <= conf[1] <= 1
     train, out = learn.holdout(df.select("qid").distinct(), "qid", least=10)
     assert (train.count(), out.count()) == (50, 10)
+
+
+def test_pairwise_ranking_without_writing_out_pairs(spark, monkeypatch):
+    """The weights are those of logistic regression over all differences; no plan joins row by row."""
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(3)
+    table = [(int(q), int(y), float(a + 0.8 * y), float(b), 1.0) for q, y, a, b in zip(rng.integers(0, 9, 600), rng.integers(0, 2, 600), rng.normal(size=600), rng.normal(size=600))]
+    rows, names = spark.createDataFrame(table, "qid int, label int, x double, y double, same double"), ["x", "y", "same"]
+    good, bad = (rows.filter(f"label = {k}").select("qid", *[F.col(c).alias(f"{c}{k}") for c in names]) for k in (1, 0))
+    diffs = good.join(bad, "qid").select(*[(F.col(f"{c}1") - F.col(f"{c}0")).alias(c) for c in names])
+    both = diffs.withColumn("label", F.lit(1.0)).unionByName(diffs.select(*[(-F.col(c)).alias(c) for c in names]).withColumn("label", F.lit(0.0)))
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(both)
+    want = LogisticRegression(fitIntercept=False, maxIter=200, regParam=1e-3, tol=1e-12).fit(data).coefficients.toArray()
+    met, total = [], learn._total
+    monkeypatch.setattr(learn, "BLOCK", 16)
+    monkeypatch.setattr(learn, "_total", lambda blocks, work, k: met.append(blocks.count()) or total(blocks, work, k))
+    assert np.allclose(learn.fit_ranker(rows, names).weights, want, rtol=1e-5, atol=1e-7)
+    assert met and max(met) < diffs.count() / 10
