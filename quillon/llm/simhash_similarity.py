@@ -18,8 +18,9 @@ for sets of equal size) with one of about one in a million, for sets of four and
 about one in a thousand.
 
 Scale.  Twenty-four bytes and the fingerprint shuffle for each band.  A shard beyond ``TREE``
-nodes is cut into trees that meet in pairs.  A node that is near many but links with none of
-them is compared with all of them; so many such nodes in one shard cost the square of their number.
+nodes is cut into trees that meet in pairs.  Nodes of one shard that are near but do not
+link cost distances and sketch bounds with the square of their number; only pairs that the
+bound allows are joined.
 
 Cases.  Texts without words are equal; a text of fewer words is one shingle.  Documents
 without an id have no component.  Repeated rows are one node.  Long texts are read whole, in
