@@ -1,13 +1,16 @@
 import json
 from datetime import date, datetime
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import index, learn
+from quillon.functions import similarity
+from quillon.operators import blocks, index, learn, retrieve
 from quillon.plans import training
 from quillon.plans.match import Matcher, hinted, legacy_match, legacy_pairs, responses
 from quillon.sources import readers
+from quillon.storage import stash
 from quillon.streaming import feedback
 
 CATALOG = """﻿Code,Laterality,Contrast,XR#Views,description,modality,bodyRegion
@@ -198,3 +201,54 @@ def test_legacy_match(spark, matcher):
     forest = learn.fit_forest(pairs.select("label", *names), names, trees=5, depth=4)
     top = legacy_match(matcher, asks, forest, 1).collect()
     assert {r.qid: r.code for r in top} == {1: "C1", 2: "C2", 3: "C3", 4: "C4", 5: "C5"} and all(r.method == "ML_MATCH" for r in top)
+
+
+@pytest.mark.parametrize("size", [(2, 2), (blocks.QUERIES, blocks.CODES)])
+def test_candidates_by_blocks_are_those_of_all_pairs(spark, matcher, monkeypatch, size):
+    texts = ["head ct without contrast", "xr lt knee", "knee", "belly sono", "", None, "zzz", "pelvis us", "CT HEAD WITHOUT CONTRAST"]
+    parsed = matcher.parsed(spark.createDataFrame(list(enumerate(texts)), "qid int, query string"))
+    encoded = parsed.select("qid", matcher.encoder(F.col("normalized")).alias("qv"))
+    dense = retrieve.full_scan(encoded, matcher.texts).select("qid", "code", F.round(similarity.dot(F.col("qv"), F.col("cv")), 12).alias("embed_sim"))
+    sims = {n: matcher.sims(parsed, n).withColumn(f"{n}_sim", F.round(f"{n}_sim", 12)) for n in ("char", "word")}
+    asked = parsed.select("qid", F.col("q.modality").alias("modality"))
+    pools = [retrieve.blocked(asked, matcher.catalog.select("code", "modality"), "modality"), retrieve.pool_of(dense, 2, sim="embed_sim")]
+    want = retrieve.candidates(*pools, *[retrieve.pool_of(s, 2, sim=f"{n}_sim") for n, s in sims.items()])
+    for s in (*sims.values(), dense):
+        want = want.join(s, ["qid", "code"], "left")
+    monkeypatch.setattr(blocks, "candidates", partial(blocks.candidates, size=size))
+    told = lambda df: {(r.qid, r.code): (r.pool, *[pytest.approx(x, abs=1e-11) if x is not None else None for x in (r.char_sim, r.word_sim, r.embed_sim)]) for r in df.collect()}
+    got = matcher.candidates(parsed, 2).collect()
+    assert {(r.qid, r.code): (r.pool, r.char_sim, r.word_sim, r.embed_sim) for r in got} == told(want) and len(got) == len(told(want))
+    assert {r.pool for r in got} >= {0, 1} and any(r.char_sim is None for r in got)
+
+
+def test_equal_texts_are_matched_once_and_alike(spark, matcher, monkeypatch):
+    texts = ["xr lt knee", "CT Head w IV Contrast", None, "zzz"]
+    asks = spark.createDataFrame([(i, texts[i % 4]) for i in range(200)], "qid int, query string")
+    parsed, seen = Matcher.parsed, []
+
+    def watched(self, queries, *rest):
+        out = parsed(self, queries, *rest)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(Matcher, "parsed", watched)
+    got = {}
+    for r in matcher.match(asks, 2).collect():
+        got.setdefault(r.qid, []).append((r["rank"] or 0, r.original, r.normalized, r.code, r.score, r.score_log))
+    assert seen == [4] and sorted(got) == list(range(200))
+    assert all(sorted(got[i]) == sorted(got[i % 4]) and got[i][0][1] == texts[i % 4] for i in got)
+
+
+def test_the_same_text_has_a_cosine_of_one(spark):
+    words = " ".join(f"w{i}x{i * i}" for i in range(40))
+    docs = spark.createDataFrame([(str(i), words if i < 20 else f"{words} y{i}") for i in range(40)], "code string, text string")
+    counts = index.term_counts(docs, "code", index.char_grams(F.col("text")))
+    vocab = index.vocabulary(counts, 40)
+    codes = docs.select("code", F.lit("XR").alias("modality"), F.lit(None).cast("array<double>").alias("cv"))
+    for name in blocks.SPARSE:
+        codes = codes.join(blocks.vectors(index.weights(counts, vocab, "code"), vocab, "code", name), "code")
+    asks, codes = stash(codes.withColumnRenamed("code", "qid").withColumnRenamed("cv", "qv")), stash(codes)
+    sims = {(r.qid, r.code): r for r in blocks.candidates(asks, codes, 3, (8, 16)).collect()}
+    assert len(sims) == 1600 and all(sims[str(i), str(j)].char_sim == 1.0 for i in range(20) for j in range(20))
+    assert all(r.embed_sim is None and r.pool == 0 for r in sims.values()) and sims["0", "25"].char_sim < 1
